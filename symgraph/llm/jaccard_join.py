@@ -31,9 +31,9 @@ from .common import blocks, components, materialise, partitions, raw, table
 
 SHINGLE = 5
 KEYS = 16
-HOT = 2000
+HOT = 10_000
 #: Shingles of a coarse group that one task joins.
-GROUP = 1_000_000
+GROUP = 300_000
 #: Documents in one side of a block of a larger group.
 BLOCK_DOCS = 500
 _NO_ID = -(1 << 63)
@@ -107,8 +107,8 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Bits of the parity sketch of a set of n shingles: a power of two, 2n at least, within 64 and 65536."""
-    return int(min(max(64, 1 << int(2 * n - 1).bit_length()), 1 << 16))
+    """Bits of the parity sketch of a set of n shingles: a power of two, 2n at least, within 1024 and 65536."""
+    return int(min(max(1024, 1 << int(2 * n - 1).bit_length()), 1 << 16))
 
 
 SKETCH = "doc_id long, n long, d1 long, d2 long, keys array<long>, bits binary"
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def families(doc: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) that connect all members of a region between which a link is possible.
+    """Edges (a, b), a forest, that connect all members of a region between which a link is possible.
 
     Of sets x and y, at most (|x| + |y|) / 7 shingles stand in one alone when they link, and parities of fewer differ.
     """
@@ -161,7 +161,7 @@ def families(doc: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndar
         half = level[s].shape[1] // 2
         if half:
             folded[s] = level[s][:, :half] ^ level[s][:, half:]
-    left, edges = np.ones(len(doc), bool), []
+    left, edges, tree = np.ones(len(doc), bool), [], np.arange(len(doc))
     for p in range(len(doc)):
         if not left[p]:
             continue
@@ -178,11 +178,14 @@ def families(doc: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndar
         # taken: within half the link radius of the pivot; window: what may link to something taken
         taken = (14 * apart <= n[p] + n[near]) & (3 * n[near] <= 4 * n[p])
         window = apart * 42 <= 3 * n[p] + 4 * n[near] + 14 * n[near]
-        edges.append((np.full(window.sum(), doc[p]), doc[near[window]]))
         left[near[taken]] = False
-    if not edges:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])
+        roots, first = np.unique(tree[near[window]], return_index=True)
+        new = roots != tree[p]
+        if new.any():
+            edges += [(doc[p], x) for x in doc[near[window][first[new]]]]
+            tree[np.isin(tree, roots[new])] = tree[p]
+    pairs = np.array(edges, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _grouped(batches, key: str):
