@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import materialise, partitions, table
 
 SEED = 17
 #: Weights are sizes to this power (temperature sampling) unless given.
@@ -22,6 +22,8 @@ TEMPERATURE = 0.5
 #: Characters of the mixture, as a multiple of the input.
 BUDGET = 1.0
 MOST_RATE = 500
+#: A table of at most so many rates is broadcast (some 10 MB); a longer one is joined by shuffling.
+MOST_BROADCAST = 100_000
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
@@ -34,7 +36,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float = BUD
         size = size.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
     total = size.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     # one row for the whole table, so the join's other side is a single row whatever the input's size
-    return size.join(F.broadcast(total)).select("source", F.when(F.col("chars") > 0, F.col("weight") / F.col("all_weight") * F.lit(budget) * F.col("all_chars") / F.col("chars")).otherwise(0.0).alias("rate"))
+    rated = size.join(F.broadcast(total)).select("source", F.when(F.col("chars") > 0, F.col("weight") / F.col("all_weight") * F.lit(budget) * F.col("all_chars") / F.col("chars")).otherwise(0.0).alias("rate"))
+    return materialise(rated, "rates")
 
 
 def uniform(seed: int, *of: Column) -> Column:
@@ -59,6 +62,8 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
 def mix(docs: DataFrame, rate_table: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with copy_no (from 1) and n_copies, a row for each copy, in globally shuffled order."""
     r = rate_table.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
+    if rate_table.count() <= MOST_BROADCAST:
+        r = F.broadcast(r)  # the join then moves no text, and a hot source stays where it is
     drawn = docs.join(r, F.col("source").eqNullSafe(F.col("_s"))).withColumn("n_copies", poisson_inverse(uniform(seed, F.col("doc_id")), F.col("_rate"))).drop("_s", "_rate")
     copies = drawn.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     place = F.xxhash64(F.lit(seed), "doc_id", "copy_no")
