@@ -128,13 +128,18 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shards: int | N
     return materialise(numbered.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
-def parse(data: bytes):
+def parse(data: bytes, step: int = 1 << 14):
     """(headers, block) of each gzip member."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        whole = unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
-        head, _, rest = whole.partition(b"\r\n\r\n")
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            chunk = view[at : at + step]
+            if not len(chunk):
+                raise ValueError("the last member is cut off")
+            parts.append(unpacker.decompress(chunk))
+            at += len(chunk) - len(unpacker.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
 
@@ -155,7 +160,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if hashlib.sha256(data).hexdigest() != expected.as_py():
                     raise ValueError(f"{file}: not the bytes of the manifest")
                 rows = []
-                for fields, block in parse(memoryview(data).tobytes()):
+                for fields, block in parse(data):
                     if f"sha256:{hashlib.sha256(block).hexdigest()}" != fields["WARC-Block-Digest"]:
                         raise ValueError(f"{file}: block digest")
                     http, _, payload = block.partition(b"\r\n\r\n")
