@@ -34,10 +34,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float = BUD
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
         size = size.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
-    total = size.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    # one row for the whole table, so the join's other side is a single row whatever the input's size
-    rated = size.join(F.broadcast(total)).select("source", F.when(F.col("chars") > 0, F.col("weight") / F.col("all_weight") * F.lit(budget) * F.col("all_chars") / F.col("chars")).otherwise(0.0).alias("rate"))
-    return materialise(rated, "rates")
+    size = materialise(size, "source-sizes")
+    # two sums come to the driver, whatever the input's size
+    all_chars, all_weight = size.agg(F.sum("chars"), F.sum("weight")).first()
+    rate = F.col("weight") / float(all_weight or 1) * budget * float(all_chars or 0) / F.col("chars")
+    return size.select("source", F.when(F.col("chars") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def uniform(seed: int, *of: Column) -> Column:

@@ -131,6 +131,8 @@ def two_stage_order(t: np.ndarray, need: np.ndarray, depth: int = LENGTH) -> np.
     direct = direct[np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").ravel(), kind="stable")]
     by_char = np.searchsorted(t[direct], np.arange(257))
     arrived: dict[int, list[np.ndarray]] = {}
+    if len(t) and need[-1]:  # the last suffix is type L, induced by the empty one
+        arrived[int(t[-1])] = [np.array([len(t) - 1])]
     order = []
 
     def induce(scanned: np.ndarray, c: int) -> np.ndarray:
