@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int | None, cut_every: int = 8) -> DataFrame:
+
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
     """Rows (node, depth) reachable along edges (src, dst) from start (node), each with its least depth; start is 0.
 
-    Every level anti-joins what was visited; the lineage is cut in the checkpoint folder when the walk is long.
+    Every level anti-joins what was visited, so cycles end, and is checkpointed: a level's plan stays as small as the
+    first one's, and a lost executor costs one level.
     """
-    spark = edges.sparkSession
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier, depth = seen, 0
-    # a walk without a bound reads its edges once for each level, so they are kept
     edges = edges.select("src", "dst").distinct()
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = step.withColumn("depth", F.lit(depth))
-        if max_depth is None:
-            frontier = frontier.checkpoint() if spark.sparkContext.getCheckpointDir() else frontier.persist()
-            if frontier.isEmpty():
-                break
+        frontier = cut(step.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-        if max_depth is None and depth % cut_every == 0 and spark.sparkContext.getCheckpointDir():
-            seen = seen.checkpoint()
     return seen
 
 
@@ -51,10 +48,16 @@ def implementations(edges: DataFrame, name: str, max_depth: int | None = 10) ->
 
 def resolve_members(requests: DataFrame, members: DataFrame, depth: int = 10) -> DataFrame:
     """requests (request_id, base, properties) down members (base, property, target): the last target reached."""
-    at = requests.select("request_id", F.col("base").alias("node"), F.col("properties").alias("rest"))
-    for _ in range(depth):
-        step = members.select(F.col("base").alias("node"), F.col("property").alias("_p"), F.col("target").alias("_t"))
-        at = at.withColumn("_p", F.get("rest", F.lit(0))).join(step, ["node", "_p"], "left")
-        done = F.size("rest") == 0
-        at = at.select("request_id", F.when(done, F.col("node")).otherwise(F.col("_t")).alias("node"), F.when(done, F.col("rest")).otherwise(F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))).alias("rest"))
-    return at.where("node is not null and size(rest) = 0").select("request_id", F.col("node").alias("target"))
+    at = requests.select("request_id", F.col("base").alias("node"), "properties")
+    ended = None
+    step = members.select(F.col("base").alias("node"), F.col("property").alias("_p"), F.col("target").alias("_t"))
+    for level in range(depth):
+        over = F.size("properties") <= level
+        done = at.where(over)
+        at = at.where(~over).withColumn("_p", F.get("properties", F.lit(level))).join(step, ["node", "_p"]).select("request_id", F.col("_t").alias("node"), "properties")
+        # requests that have arrived leave the walk, so a level's plan holds no case distinctions of the ones before
+        ended = done if ended is None else ended.unionByName(done)
+        at = cut(at)
+        if at.isEmpty():
+            break
+    return ended.unionByName(at.where(F.size("properties") <= depth)).select("request_id", F.col("node").alias("target")).distinct()

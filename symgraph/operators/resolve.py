@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .lineage import cut
 from .search import first_by
 
 #: Extensions in the order they are tried.
@@ -100,7 +101,9 @@ def chase_reexports(requests: DataFrame, edges: DataFrame, symbols: DataFrame, d
         if level == depth:
             break
         step = frontier.join(edges, "uri").where("is_all or array_contains(exported_names, name)").select("request_id", F.col("target").alias("uri"), "name").distinct()
-        frontier = step.join(visited, ["request_id", "uri"], "left_anti")
+        frontier = cut(step.join(visited, ["request_id", "uri"], "left_anti"))
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier.select("request_id", "uri"))
     return first_by(found, ["request_id"], "level", "uri", "ordinal")
 
