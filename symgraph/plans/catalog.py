@@ -450,3 +450,85 @@ def staleness(x: Index) -> DataFrame:
     stored = x.table("labels").select(F.col("doc_id").alias("uri"), "quality").join(now, "uri").select("uri", F.when(F.col("quality") == 0, "old").otherwise(F.col("hash")).alias("hash"))
     return incremental.changes(stored, now).where("state <> 'deleted'").select(F.col("uri").alias("doc_id"), "hash", "state")
 
+
+# --- text forms of resolution and liveness
+
+_LINES = "lines AS (SELECT doc_id, CAST(l - 1 AS INT) AS line, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS l FROM documents))"
+
+
+def _lines(x: Index) -> DataFrame:
+    return x.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line, CAST(strpos(s, 'that') - 1 AS INT) AS character FROM lines WHERE contains(s, 'that')", views=False)
+def literal_matches(x: Index) -> DataFrame:
+    """Places of a literal in lines (action types in reducers and effects)."""
+    return _lines(x).where(F.col("s").contains("that")).select("doc_id", "line", (F.instr("s", "that") - 1).alias("character"))
+
+
+@query(f"WITH {_LINES}, n AS (SELECT *, regexp_extract(s, '[A-Za-z]+') AS w FROM lines) SELECT doc_id, line, w, (contains(s, 'on(') OR contains(s, 'createAction') OR (length(w) >= 3 AND regexp_matches(lower(w), '^({'|'.join(P.ACTION_VERBS)})') AND regexp_matches(w, '^[a-z][a-zA-Z0-9]*$'))) AS store_like FROM n", views=False)
+def store_lines(x: Index) -> DataFrame:
+    return _lines(x).withColumn("w", F.regexp_extract("s", "[A-Za-z]+", 0)).select("doc_id", "line", "w", P.store_symbol(F.col("w"), F.col("s")).alias("store_like"))
+
+
+@query("SELECT match, explicit, CASE WHEN match = 'symbol' AND explicit THEN 'high' WHEN match IN ('symbol', 'string') THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'string' ELSE 'wildcard' END AS match, o_orderkey % 2 = 0 AS explicit FROM orders) GROUP BY ALL", views=False)
+def reference_confidence(x: Index) -> DataFrame:
+    o = x.table("orders").select(F.expr("CASE o_custkey % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'string' ELSE 'wildcard' END").alias("match"), (F.col("o_orderkey") % 2 == 0).alias("explicit"))
+    return o.withColumn("confidence", P.confidence(F.col("match"), F.col("explicit"))).groupBy("match", "explicit", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(", d AS (SELECT DISTINCT uri, line, character FROM refs WHERE symbol_name = 'RedBolt') SELECT uri, list_transform(list_sort(list(line * 1000 + character), 'DESC'), lambda p: CAST(p AS INT)) AS places FROM d GROUP BY uri")
+def rename_places(x: Index) -> DataFrame:
+    """Edits of a file, bottom up."""
+    d = x.refs.where("symbol_name = 'RedBolt'").select("uri", "line", "character").distinct()
+    return d.groupBy("uri").agg(F.sort_array(F.collect_list(F.col("line") * 1000 + F.col("character")), asc=False).alias("places"))
+
+
+@query(f", {_GROUPS}, j AS (SELECT pending.*, events, {_SPLIT.format('member')} AS w FROM pending LEFT JOIN last ON container = last.name) SELECT count(*) AS n_pending, CAST(count(*) FILTER (WHERE list_contains(events, member) OR list_contains(events, {_CAMEL}) OR list_contains(events, {_PASCAL})) AS BIGINT) AS n_matched FROM j")
+def link_stats(x: Index) -> DataFrame:
+    return resolved_links(x).agg(F.count("*").alias("n_pending"), F.count("event").alias("n_matched"))
+
+
+@query("SELECT name, CAST(count(*) AS BIGINT) AS n, bool_or(is_definition) AS any_definition, bool_and(is_static) AS all_static, max(kind) AS last_kind FROM symbols GROUP BY name HAVING count(DISTINCT kind) > 1")
+def names_of_many_kinds(x: Index) -> DataFrame:
+    g = x.symbols.groupBy("name").agg(F.count("*").alias("n"), F.bool_or("is_definition").alias("any_definition"), F.bool_and("is_static").alias("all_static"), F.max("kind").alias("last_kind"), F.countDistinct("kind").alias("_k"))
+    return g.where("_k > 1").drop("_k")
+
+
+@query("SELECT tier, count(DISTINCT uri) AS n_files, count(*) AS n_symbols FROM (SELECT 'open' AS tier, uri FROM symbols WHERE kind = 'class' UNION ALL SELECT 'all', uri FROM symbols) GROUP BY tier")
+def tier_stats(x: Index) -> DataFrame:
+    s = x.symbols
+    return stats.tier_stats(s.where("kind = 'class'").select(F.lit("open").alias("tier"), "uri").unionByName(s.select(F.lit("all").alias("tier"), "uri")))
+
+
+@query("SELECT uri FROM files f LEFT JOIN (SELECT uri AS u, max(mtime) + min(ordinal) % 2 AS m FROM (SELECT uri, ordinal, max(ordinal) OVER (PARTITION BY uri) AS mtime FROM symbols) WHERE ordinal % 3 <> 0 GROUP BY uri) s ON s.u = f.uri WHERE m IS NULL OR m <> mtime")
+def files_to_reindex(x: Index) -> DataFrame:
+    from ..sources import workspace
+
+    w = x.symbols.join(x.files.select("uri", "mtime"), "uri").where("ordinal % 3 <> 0")
+    meta = w.groupBy("uri").agg((F.max("mtime") + F.min("ordinal") % 2).alias("mtime"))
+    return workspace.needs_reindexing(x.files.select("uri", "mtime"), meta).select("uri")
+
+
+@query("SELECT ordinal, name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind <> 'class', coalesce(container_name, '') <> 'Brand#4', uri, ordinal) AS n FROM symbols) WHERE n = 1")
+def matched_symbols(x: Index) -> DataFrame:
+    """Best match by kind, then container."""
+    return search.first_by(x.symbols, ["name"], F.col("kind") != "class", F.coalesce("container_name", F.lit("")) != "Brand#4", "uri", "ordinal").select("ordinal", "name")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"#?]+)', 1)) AS n_links, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"#?]+)', 1))) AS n_distinct FROM pages", views=False)
+def page_links(x: Index) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('href="([^"#?]+)'), 1)
+    return x.table("pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.size(F.array_distinct(links)).cast("long").alias("n_distinct"))
+
+
+@query()
+def source_extraction(x: Index) -> DataFrame:
+    """Source files written from the symbol table, read back by the extractor: counts of what it finds by kind."""
+    from ..extract import index
+
+    name = F.concat(F.lit("N"), F.col("ordinal").cast("string"))
+    line = F.concat(F.lit("export class "), name, F.lit(" extends Base { m(a: number) { return this.go("), name, F.lit("); } }\n"))
+    files = x.symbols.groupBy("uri").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("content"))
+    found = index.flatten(index.extract(files), "symbols")
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
