@@ -55,20 +55,30 @@ def resolve_links(pending: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.withColumn("event", key).withColumn("symbol_name", F.when(F.col("event").isNotNull(), m).otherwise(F.concat_ws(".", "container", "member"))).drop("events")
 
 
-def import_candidates(imports: DataFrame) -> DataFrame:
-    """imports with every path a relative specifier may stand for, and its priority."""
-    base = F.regexp_replace(F.concat_ws("/", S.directory(F.col("uri")), F.regexp_replace("module_specifier", r"^\./", "")), r"/[^/]+/\.\./", "/")
+def import_base(imports: DataFrame) -> DataFrame:
+    """imports with base: the path that a relative specifier stands for, without extension; null for others."""
+    path = F.regexp_replace(F.concat_ws("/", S.directory(F.col("uri")), F.regexp_replace("module_specifier", r"^\./", "")), r"/[^/]+/\.\./", "/")
+    return imports.withColumn("base", F.when(F.col("module_specifier").startswith("."), path))
+
+
+def probe_paths(bases: DataFrame) -> DataFrame:
+    """bases (base) with every path it may stand for, and its priority."""
+    base = F.col("base")
     stem = F.regexp_replace(base, r"\.(js|jsx|mjs|cjs)$", "")
     mapped = [F.concat(stem, F.lit(x)) for x in (".ts", ".tsx")]
     tried = [F.when(base != stem, x) for x in mapped] + [base] + [F.concat(base, F.lit(x)) for x in PROBES] + [F.concat(base, F.lit("/index" + x)) for x in PROBES]
-    return imports.where(F.col("module_specifier").startswith(".")).select("*", F.posexplode(F.array(*tried)).alias("priority", "path")).where("path is not null")
+    return bases.select("base", F.posexplode(F.array(*tried)).alias("priority", "path")).where("path is not null")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (uri, ordinal, ...) with resolved_uri: the first existing candidate; null if none."""
-    found = import_candidates(imports).join(files.select(F.col("uri").alias("path")).distinct(), "path")
-    best = found.groupBy("uri", "ordinal").agg(F.min_by("path", "priority").alias("resolved_uri"))
-    return imports.join(best, ["uri", "ordinal"], "left")
+    """imports with resolved_uri: the first existing candidate; null if none.
+
+    Many imports stand for one path, so paths are probed once each, not once for each import.
+    """
+    based = import_base(imports)
+    found = probe_paths(based.select("base").where("base is not null").distinct()).join(files.select(F.col("uri").alias("path")).distinct(), "path")
+    best = found.groupBy("base").agg(F.min_by("path", "priority").alias("resolved_uri"))
+    return based.join(best, "base", "left").drop("base")
 
 
 def import_of(imports: DataFrame) -> DataFrame:
