@@ -1,6 +1,7 @@
 """PII: format-preserving Feistel pseudonyms, by DataFrame functions only.
 
-Found and validated: payment card numbers (13 to 19 digits, Luhn), phone numbers, IPv4 addresses, calendar dates,
+Found and validated: payment card numbers (13 to 19 digits, Luhn), phone, social security and international bank
+account numbers, IPv4 addresses, calendar dates,
 mail addresses (the local part), and three forms of credentials. A value's characters are permuted by a keyed Feistel
 network over their own alphabet; separators and length stay, a card's check digit is made anew, an address stays four
 octets, a date stays a date of its century. The same value gets the same pseudonym in every document, different values
@@ -22,10 +23,12 @@ ROUNDS = 10
 _CARD = r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])"
 _PHONE = r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![A-Za-z0-9])"
 _IP = r"(?<![A-Za-z0-9.])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9]|\.\d)"
-_DATE = r"(?<![A-Za-z0-9])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![A-Za-z0-9])"
+_SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![A-Za-z0-9]|-\d)"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+_DATE = r"(?<![A-Za-z0-9])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![A-Za-z0-9])"
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _CREDENTIAL = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|token = \"[0-9a-f]{40}\"|password=[A-Za-z0-9]{8,64}"
-PATTERN = "|".join((_MAIL, _CARD, _PHONE, _IP, _DATE, _CREDENTIAL))
+PATTERN = "|".join((_MAIL, _CARD, _PHONE, _SSN, _IBAN, _IP, _DATE, _CREDENTIAL))
 _DIGITS, _HEX, _LOWER, _UPPER = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -108,7 +111,7 @@ _CENTURY = {36524: (92, 397), 36525: (75, 487)}
 
 def date(m: Column, key: str = KEY) -> Column:
     """ISO, or day first with / or ., or month first where day first is no date; years 1000 to 9999."""
-    formats = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d\d/\d\d/", "dd/MM/yyyy"), (r"^\d\d\.\d\d\.", "dd.MM.yyyy"), (r"^\d\d/\d\d/", "MM/dd/yyyy")]
+    formats = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d\d/\d\d/", "dd/MM/yyyy"), (r"^\d\d\.\d\d\.", "dd.MM.yyyy"), (r"^\d\d/\d\d/", "MM/dd/yyyy")]
 
     def moved(day: Column) -> Column:
         first = F.make_date(F.floor(F.year(day) / 100).cast("int") * 100, F.lit(1), F.lit(1))
@@ -136,6 +139,32 @@ def date(m: Column, key: str = KEY) -> Column:
     return out
 
 
+def social(m: Column, key: str = KEY) -> Column:
+    """A social security number; the network is walked on until its result is a valid number again."""
+    fine = lambda d: d.rlike(r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$")
+    once = lambda d: feistel(d, _DIGITS, "ssn", key)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(only(m, "[^0-9]")), lambda d, _: F.when(fine(d), d).otherwise(once(d)))
+    return let(walked, lambda d: refill(m, d, "[0-9]"))
+
+
+def _mod97(s: Column) -> Column:
+    def add(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(_count_to(F.char_length(s)), F.lit(0), lambda a, i: add(a, F.substring(s, i, F.lit(1))))
+
+
+def iban(m: Column, key: str = KEY) -> Column:
+    """The account part's digits are permuted and the check digits made anew; country and letters stay."""
+    country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.char_length(m))
+    valid = _mod97(F.concat(account, F.substring(m, 1, 4))) == 1
+
+    def checked(a: Column) -> Column:
+        return F.concat(country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
+
+    return F.when(valid, let(let(feistel(only(account, "[^0-9]"), _DIGITS, "iban", key), lambda d: refill(account, d, "[0-9]")), checked)).otherwise(m)
+
+
 def mail(m: Column, key: str = KEY) -> Column:
     name, rest = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
     return F.concat(let(F.lower(name), lambda n: let(feistel(only(n, "[^a-z0-9]"), _LOWER, "mail", key), lambda d: refill(n, d, "[a-z0-9]"))), rest)
@@ -162,6 +191,8 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         F.when(m.contains("@"), mail(m, key))
         .when(m.startswith("AKIA") | m.startswith("token") | m.startswith("password"), credential(m, key))
         .when(whole(_CARD), card(m, key))
+        .when(whole(_SSN), social(m, key))
+        .when(whole(_IBAN), iban(m, key))
         .when(whole(_IP), address(m, key))
         .when(whole(_DATE), date(m, key))
         .otherwise(phone(m, key))

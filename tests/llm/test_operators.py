@@ -251,6 +251,16 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0 and set(docs.columns) < set(got[1].asDict())
 
 
+def test_more_numbers(spark):
+    text = "ssn 123-45-6789 000-12-3456 iban DE89370400440532013000 DE88370400440532013000 GB82WEST12345698765432 day 2020/01/02"
+    new = pii.pseudonymise(spark.createDataFrame([(1, text), (2, "x 123-45-6789.")], "doc_id long, text string")).orderBy("doc_id").collect()
+    w = new[0].text.split()
+    mod = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+    assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", w[1]) and w[1] != "123-45-6789" and w[2] == "000-12-3456" and new[1].text == f"x {w[1]}."
+    assert w[4][:2] == "DE" and len(w[4]) == 22 and mod(w[4]) == 1 and w[4] != "DE89370400440532013000" and w[5] == "DE88370400440532013000"
+    assert re.fullmatch(r"GB\d\dWEST\d{14}", w[6]) and mod(w[6]) == 1 and re.fullmatch(r"20\d\d/\d\d/\d\d", w[8]) and w[8] != "2020/01/02"
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
