@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extract import index, plugins
-from .functions import scalars as S
 from .operators import graph, liveness, resolve, search
 from .sources import workspace
 from .store import Store
@@ -57,9 +56,7 @@ class Engine:
         requests = bound.select(F.col("cursor_id").alias("request_id"), F.col("resolved_uri").alias("uri"), F.col("_x").alias("name"))
         chased = resolve.chase_reexports(requests, self.reexport_edges(), symbols.where("is_definition"))
         by_import = chased.select(F.col("request_id").alias("cursor_id"), "uri", "name", "ordinal", F.lit(0).alias("stage"))
-        ranked = search.definition_rules(cursors.join(symbols, "name"))
-        near = ranked.withColumn("_p", S.proximity(F.col("uri"), F.col("cursor_uri")))
-        by_name = search.first_by(near, ["cursor_id"], F.desc("_p"), "uri", "ordinal").select("cursor_id", "uri", "name", "ordinal", F.lit(1).alias("stage"))
+        by_name = search.definitions_at(cursors, symbols).select("cursor_id", "uri", "name", "ordinal", F.lit(1).alias("stage"))
         return search.first_by(by_import.unionByName(by_name), ["cursor_id"], "stage")
 
     def references(self, name: str) -> DataFrame:

@@ -64,6 +64,20 @@ def proximity_ranked(candidates: DataFrame, sites: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(W.partitionBy("site_id").orderBy(F.desc("score"), "uri", "line", "character", "ordinal")))
 
 
+def proximity_winners(candidates: DataFrame, sites: DataFrame) -> DataFrame:
+    """The winner of proximity_ranked for each site.
+
+    A score depends on the site's name, folder and container alone, so each such context is ranked once, however many
+    sites share it, and sites take their context's winner.
+    """
+    placed = sites.withColumn("_dir", F.concat(S.directory(F.col("site_uri")), F.lit("/")))
+    contexts = placed.select("name", F.col("_dir").alias("site_uri"), "container").distinct().withColumn("site_id", F.struct("name", "site_uri", "container"))
+    won = proximity_ranked(candidates, contexts).where("rank = 1").drop("site_id", "rank")
+    won = won.withColumnsRenamed({"name": "_name", "site_uri": "_at", "container": "_container"})
+    same = (F.col("name") == F.col("_name")) & (F.col("_dir") == F.col("_at")) & F.col("container").eqNullSafe(F.col("_container"))
+    return placed.join(won, same).drop("_name", "_at", "_container", "_dir")
+
+
 def best_scored(symbols: DataFrame, want: dict) -> DataFrame:
     """All symbols that share the best hybrid score."""
     c = {x: F.col(x) for x in ("name", "kind", "container_name", "full_container_path", "is_static", "uri")}
@@ -88,6 +102,22 @@ def definition_rules(candidates: DataFrame) -> DataFrame:
     return rows.where("_lo <> _hi or _k = 1").drop("_lo", "_hi", "_k")
 
 
+def definitions_at(cursors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What definition_rules leaves of all symbols of each cursor's name; cursors have a name and a unique cursor_id.
+
+    Only the first rule looks at the cursor, and only where a symbol of that name holds it. Such cursors run the rules
+    over their own candidates; all others take what the rules leave of their name, found once for each name.
+    """
+    at, start, end = (F.struct(F.col(a).alias("l"), F.col(b).alias("c")) for a, b in (("cursor_line", "cursor_character"), ("start_line", "start_character"), ("end_line", "end_character")))
+    homes = symbols.select("name", F.col("uri").alias("cursor_uri"), "start_line", "start_character", "end_line", "end_character")
+    inside = cursors.join(homes, ["name", "cursor_uri"]).where(at.between(start, end)).select("cursor_id").distinct()
+    of_name = definition_rules(symbols.withColumns({"cursor_id": F.col("name"), "cursor_uri": F.lit(""), "cursor_line": F.lit(-1), "cursor_character": F.lit(-1)}))
+    of_name = of_name.drop("cursor_id", "cursor_uri", "cursor_line", "cursor_character")
+    free = cursors.join(inside, "cursor_id", "left_anti").join(of_name, "name")
+    held = definition_rules(cursors.join(inside, "cursor_id", "left_semi").join(symbols, "name"))
+    return free.unionByName(held)
+
+
 def hover(symbols: DataFrame, name: str, uri: str, kind: str) -> DataFrame:
     """The symbol to describe: same file first, then same kind, then the first."""
     found = symbols.where(F.col("name") == name).withColumns({"_u": F.col("uri") != uri, "_k": F.col("kind") != kind})

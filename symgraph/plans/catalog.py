@@ -96,12 +96,12 @@ def hover(x: Index) -> DataFrame:
     return search.hover(x.symbols, "RedBoltState", "/ws/src/mod1/file1.ts", "class").select("name", "uri", "ordinal", "kind", "signature")
 
 
-_SITES = "sites AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS site_id, min(symbol_name) AS name, min(site_uri) AS site_uri, min(container) AS container FROM (SELECT l_orderkey, l_linenumber, s.name AS symbol_name, concat('/ws/src/mod', CAST(l_orderkey % 40 AS VARCHAR), '/file', CAST(l_orderkey % 90 AS VARCHAR), '.ts') AS site_uri, CASE WHEN l_orderkey % 3 = 0 THEN s.container_name END AS container FROM lineitem JOIN symbols s ON s.ordinal = l_partkey WHERE l_linenumber = 1 AND l_orderkey < 400) GROUP BY l_orderkey, l_linenumber)"
+_SITES = "sites AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS site_id, min(symbol_name) AS name, min(site_uri) AS site_uri, min(container) AS container FROM (SELECT l_orderkey, l_linenumber, s.name AS symbol_name, concat('/ws/src/mod', CAST(l_orderkey % 40 AS VARCHAR), '/file', CAST(l_orderkey % 90 AS VARCHAR), '.ts') AS site_uri, CASE WHEN l_orderkey % 3 = 0 THEN s.container_name END AS container FROM lineitem JOIN symbols s ON s.ordinal = l_partkey) GROUP BY l_orderkey, l_linenumber)"
 
 
 def _sites(x: Index) -> DataFrame:
     key = F.col("l_orderkey")
-    rows = x.table("lineitem").where("l_linenumber = 1 and l_orderkey < 400").join(x.symbols.select(F.col("ordinal").alias("l_partkey"), "name", "container_name"), "l_partkey")
+    rows = x.table("lineitem").join(x.symbols.select(F.col("ordinal").alias("l_partkey"), "name", "container_name"), "l_partkey")
     rows = rows.select((key * 10 + F.col("l_linenumber")).cast("long").alias("site_id"), "name", F.concat(F.lit("/ws/src/mod"), (key % 40).cast("string"), F.lit("/file"), (key % 90).cast("string"), F.lit(".ts")).alias("site_uri"), F.when(key % 3 == 0, F.col("container_name")).alias("container"))
     return rows.groupBy("site_id").agg(F.min("name").alias("name"), F.min("site_uri").alias("site_uri"), F.min("container").alias("container"))
 
@@ -112,7 +112,7 @@ _PROXIMITY = f"CASE WHEN d = s THEN 100 WHEN d = {_DIR.format('s')} THEN 70 WHEN
 
 @query(f", {_SITES}, j AS (SELECT site_id, site_uri, container, symbols.*, {_DIR.format('uri')} AS d, {_DIR.format('site_uri')} AS s, coalesce(container_name = container, false) AS m FROM sites JOIN symbols USING (name)), k AS (SELECT *, bool_or(m) OVER (PARTITION BY site_id) AS a FROM j), p AS (SELECT *, {_PROXIMITY} AS score FROM k WHERE NOT a OR m), r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, uri, line, character, ordinal) AS n FROM p) SELECT site_id, uri, ordinal, CAST(score AS INT) AS score FROM r WHERE n = 1")
 def proximity_winner(x: Index) -> DataFrame:
-    return search.proximity_ranked(x.symbols, _sites(x)).where("rank = 1").select("site_id", "uri", "ordinal", "score")
+    return search.proximity_winners(x.symbols, _sites(x)).select("site_id", "uri", "ordinal", "score")
 
 
 @query(f", h AS (SELECT *, CASE WHEN name <> 'RedBolt' THEN -1000 ELSE 100 + CASE WHEN kind = 'method' THEN 50 WHEN kind IN ('function', 'method', 'property') THEN 30 ELSE 0 END + CASE WHEN container_name = 'Brand#4' THEN 100 ELSE 0 END + CASE WHEN full_container_path LIKE '%Brand#4' THEN 40 ELSE 0 END + CASE WHEN is_static IS NULL THEN 0 WHEN is_static = false THEN 30 ELSE -50 END + CASE WHEN uri = '/ws/src/mod3/file3.ts' THEN 20 ELSE 0 END END AS score FROM symbols WHERE name = 'RedBolt') SELECT ordinal, uri, CAST(score AS INT) AS score FROM h WHERE score = (SELECT max(score) FROM h)")
@@ -123,14 +123,13 @@ def hybrid_best(x: Index) -> DataFrame:
 _CURSORS = "cursors AS (SELECT site_id AS cursor_id, name, site_uri AS cursor_uri, CAST(site_id % 97 AS INT) AS cursor_line, 3 AS cursor_character FROM sites)"
 
 
-def _candidates(x: Index) -> DataFrame:
-    cursors = _sites(x).select(F.col("site_id").alias("cursor_id"), "name", F.col("site_uri").alias("cursor_uri"), (F.col("site_id") % 97).cast("int").alias("cursor_line"), F.lit(3).alias("cursor_character"))
-    return cursors.join(x.symbols, "name")
+def _cursors(x: Index) -> DataFrame:
+    return _sites(x).select(F.col("site_id").alias("cursor_id"), "name", F.col("site_uri").alias("cursor_uri"), (F.col("site_id") % 97).cast("int").alias("cursor_line"), F.lit(3).alias("cursor_character"))
 
 
 @query(f", {_SITES}, {_CURSORS}, c AS (SELECT cursors.* EXCLUDE (name), symbols.* FROM cursors JOIN symbols USING (name)), r1 AS (SELECT * FROM c WHERE NOT (uri = cursor_uri AND (cursor_line > start_line OR (cursor_line = start_line AND cursor_character >= start_character)) AND (cursor_line < end_line OR (cursor_line = end_line AND cursor_character <= end_character)))), r2 AS (SELECT * FROM (SELECT *, bool_or(is_definition) OVER (PARTITION BY cursor_id) AS d FROM r1) WHERE NOT d OR kind <> 'text'), r3 AS (SELECT * FROM (SELECT *, bool_or(kind = 'class') OVER (PARTITION BY cursor_id, name) AS k1, bool_or(kind = 'interface') OVER (PARTITION BY cursor_id, name) AS k2 FROM r2) WHERE NOT (k1 AND k2) OR kind = 'class'), r5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cursor_id, uri ORDER BY start_line, ordinal) AS n FROM r3) WHERE n = 1), r6 AS (SELECT *, row_number() OVER (PARTITION BY cursor_id ORDER BY {_KIND_RANK}, uri, ordinal) AS w FROM r5) SELECT cursor_id, uri, ordinal FROM r6 WHERE w = 1")
 def definition_cascade(x: Index) -> DataFrame:
-    return search.definition_rules(_candidates(x)).select("cursor_id", "uri", "ordinal")
+    return search.definitions_at(_cursors(x), x.symbols).select("cursor_id", "uri", "ordinal")
 
 
 # --- lookups
@@ -261,11 +260,11 @@ def all_positions(x: Index) -> DataFrame:
 
 # --- recursion
 
-_EDGES = "edges AS (SELECT DISTINCT r.uri AS uri, s.uri AS target_uri FROM (SELECT DISTINCT uri, symbol_name FROM refs WHERE is_import AND symbol_name LIKE '%Service') r JOIN (SELECT DISTINCT name, uri FROM symbols WHERE kind = 'class') s ON s.name = r.symbol_name WHERE r.uri <> s.uri)"
+_EDGES = "edges AS (SELECT DISTINCT r.uri AS uri, s.uri AS target_uri FROM (SELECT DISTINCT uri, symbol_name FROM refs WHERE is_import) r JOIN (SELECT DISTINCT name, uri FROM symbols WHERE kind = 'class') s ON s.name = r.symbol_name WHERE r.uri <> s.uri)"
 
 
 def _edges(x: Index) -> DataFrame:
-    used = x.refs.where("is_import and symbol_name like '%Service'").select("uri", F.col("symbol_name").alias("name")).distinct()
+    used = x.refs.where("is_import").select("uri", F.col("symbol_name").alias("name")).distinct()
     homes = x.symbols.where("kind = 'class'").select("name", F.col("uri").alias("target_uri")).distinct()
     return used.join(homes, "name").where("uri <> target_uri").select("uri", "target_uri").distinct()
 
@@ -285,34 +284,41 @@ def implementations(x: Index) -> DataFrame:
     return graph.implementations(edges, "r1", 4)
 
 
-_REEX = "re AS (SELECT DISTINCT concat('m', CAST(p_partkey % 50 AS VARCHAR)) AS uri, concat('m', CAST((p_partkey * 7 + 3) % 60 AS VARCHAR)) AS target, p_partkey % 2 = 0 AS is_all, name FROM part JOIN symbols ON ordinal = p_partkey WHERE p_partkey < 300), defs AS (SELECT concat('m', CAST(ordinal % 60 AS VARCHAR)) AS uri, name, ordinal, line FROM symbols WHERE ordinal % 11 = 0), req AS (SELECT CAST(ordinal AS INT) AS request_id, concat('m', CAST(ordinal % 50 AS VARCHAR)) AS uri, name FROM symbols WHERE ordinal < 150)"
+# modules m0, m1, ...: symbol o is declared in m(o div 5), and m(o) re-exports from m(o div 3) and, by name, from m(o div 2)
+_REEX = "re AS (SELECT concat('m', ordinal) AS uri, concat('m', ordinal // 3) AS target, ordinal % 2 = 0 AS is_all, name FROM symbols UNION SELECT concat('m', ordinal), concat('m', ordinal // 2), false, name FROM symbols), defs AS (SELECT concat('m', ordinal // 5) AS uri, name, ordinal, line FROM symbols), req AS (SELECT r.ordinal AS request_id, concat('m', r.ordinal) AS uri, s.name FROM symbols r JOIN symbols s ON s.ordinal = 5 * (r.ordinal // 9) + 1)"
 
 
 @query(f", {_REEX}, w(request_id, uri, name, level) AS (SELECT request_id, uri, name, 0 FROM req UNION SELECT w.request_id, re.target, w.name, level + 1 FROM w JOIN re ON re.uri = w.uri AND (re.is_all OR re.name = w.name) WHERE level < 5), f AS (SELECT w.request_id, w.uri, level, ordinal, row_number() OVER (PARTITION BY w.request_id ORDER BY level, w.uri, ordinal) AS n FROM w JOIN defs ON defs.uri = w.uri AND defs.name = w.name) SELECT request_id, uri, CAST(level AS INT) AS level, ordinal FROM f WHERE n = 1", recursive=True)
 def reexport_chains(x: Index) -> DataFrame:
-    m = lambda e: F.concat(F.lit("m"), e.cast("string"))
-    o = F.col("ordinal")
-    edges = x.symbols.where("ordinal < 300").select(m(o % 50).alias("uri"), m((o * 7 + 3) % 60).alias("target"), (o % 2 == 0).alias("is_all"), F.array("name").alias("exported_names")).distinct()
-    defs = _with_id(x.symbols).where("ordinal % 11 = 0").select(m(o % 60).alias("uri"), "name", "id", "line", "ordinal")
-    requests = x.symbols.where("ordinal < 150").select(o.cast("int").alias("request_id"), m(o % 50).alias("uri"), "name")
+    module = lambda n: F.expr(f"concat('m', CAST(ordinal div {n} AS STRING))")
+    edge = lambda n, everything: x.symbols.select(module(1).alias("uri"), module(n).alias("target"), everything.alias("is_all"), F.array("name").alias("exported_names"))
+    edges = edge(3, F.col("ordinal") % 2 == 0).unionByName(edge(2, F.lit(False))).distinct()
+    defs = _with_id(x.symbols).select(module(5).alias("uri"), "name", "id", "line", "ordinal")
+    wanted = x.symbols.select(F.col("ordinal").alias("_w"), "name")
+    requests = x.symbols.select(F.col("ordinal").alias("request_id"), module(1).alias("uri"), F.expr("CAST(5 * (ordinal div 9) + 1 AS INT)").alias("_w")).join(wanted, "_w").drop("_w")
     return resolve.chase_reexports(requests, edges, defs).select("request_id", "uri", "level", "ordinal")
 
 
 # --- liveness
 
-_DEAD = f"""ex AS (SELECT * FROM symbols WHERE coalesce(container_name, '') = '' AND kind IN ('class', 'interface', 'function', 'type', 'enum', 'constant', 'variable')
+# names carry their line, so that some of them have no uses
+_AT_LINE = "sy AS (SELECT * REPLACE (concat(name, '@', line) AS name) FROM symbols), rf AS (SELECT * REPLACE (concat(symbol_name, '@', line) AS symbol_name, CASE WHEN container_name IS NOT NULL THEN concat(container_name, '@', line) END AS container_name) FROM refs)"
+_DEAD = f"""{_AT_LINE}, ex AS (SELECT * FROM sy WHERE coalesce(container_name, '') = '' AND kind IN ('class', 'interface', 'function', 'type', 'enum', 'constant', 'variable')
   AND NOT (contains(uri, 'node_modules') OR contains(uri, 'dist/') OR contains(uri, '.spec.') OR contains(uri, '.test.')) AND uri NOT LIKE '%/index.ts' AND uri NOT LIKE '%.spec.ts'),
-fewer AS (SELECT * FROM refs WHERE line % 10 = 0 AND character > 45),
-un AS (SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM fewer r WHERE r.symbol_name = ex.name AND r.uri <> ex.uri)),
-al AS (SELECT DISTINCT r.uri AS uri, r.symbol_name AS name FROM fewer r JOIN ex h ON h.uri = r.uri WHERE NOT coalesce(is_import, false) AND h.name <> r.symbol_name AND (coalesce(r.container_name = h.name, false) OR
+un AS (SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM rf r WHERE r.symbol_name = ex.name AND r.uri <> ex.uri)),
+al AS (SELECT DISTINCT r.uri AS uri, r.symbol_name AS name FROM rf r JOIN ex h ON h.uri = r.uri WHERE NOT coalesce(is_import, false) AND h.name <> r.symbol_name AND (coalesce(r.container_name = h.name, false) OR
   ((r.line > start_line OR (r.line = start_line AND r.character >= start_character)) AND (r.line < end_line OR (r.line = end_line AND r.character <= end_character))))),
-cn AS (SELECT uri, symbol_name AS name, count(DISTINCT (line, character)) AS n FROM fewer GROUP BY ALL),
+cn AS (SELECT uri, symbol_name AS name, count(DISTINCT (line, character)) AS n FROM rf GROUP BY ALL),
 dead AS (SELECT un.uri AS uri, un.name AS name, ordinal, CAST(coalesce(cn.n, 0) AS BIGINT) AS local_uses FROM un LEFT JOIN cn ON cn.uri = un.uri AND cn.name = un.name WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.uri = un.uri AND al.name = un.name)),
 conf AS (SELECT *, CASE WHEN local_uses = 0 THEN 'high' WHEN local_uses < 3 THEN 'medium' ELSE 'low' END AS confidence FROM dead)"""
 
 
+def _at_line(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.concat(c, F.lit("@"), F.col("line").cast("string")) for c in columns})
+
+
 def _dead(x: Index) -> DataFrame:
-    return liveness.dead_code(x.symbols, x.refs.where("line % 10 = 0 and character > 45"))
+    return liveness.dead_code(_at_line(x.symbols, "name"), _at_line(x.refs, "symbol_name", "container_name"))
 
 
 @query(f", {_DEAD} SELECT uri, name, ordinal, local_uses, confidence FROM conf")
@@ -325,9 +331,9 @@ def dead_code_totals(x: Index) -> DataFrame:
     return liveness.totals(_dead(x))
 
 
-@query(", e AS (SELECT uri, name, ordinal FROM symbols WHERE coalesce(container_name, '') = '' AND kind IN ('class', 'interface', 'function', 'type', 'enum', 'constant', 'variable')), u AS (SELECT DISTINCT symbol_name AS name, uri AS ref_uri FROM refs WHERE line % 7 = 0 AND character > 47), c AS (SELECT e.uri, e.name, e.ordinal, bool_and(regexp_matches(ref_uri, '(^|/)(index|public-api|barrel)\\.[jt]s$')) AS b, count(*) AS n_files FROM e JOIN u ON u.name = e.name WHERE ref_uri <> e.uri GROUP BY ALL) SELECT uri, name, ordinal, n_files FROM c WHERE b")
+@query(f", {_AT_LINE}, e AS (SELECT uri, name, ordinal FROM sy WHERE coalesce(container_name, '') = '' AND kind IN ('class', 'interface', 'function', 'type', 'enum', 'constant', 'variable')), u AS (SELECT DISTINCT symbol_name AS name, uri AS ref_uri FROM rf), c AS (SELECT e.uri, e.name, e.ordinal, bool_and(regexp_matches(ref_uri, '(^|/)(index|public-api|barrel)\\.[jt]s$')) AS b, count(*) AS n_files FROM e JOIN u ON u.name = e.name WHERE ref_uri <> e.uri GROUP BY ALL) SELECT uri, name, ordinal, n_files FROM c WHERE b")
 def barrel_only(x: Index) -> DataFrame:
-    return liveness.barrel_only(x.symbols, x.refs.where("line % 7 = 0 and character > 47"))
+    return liveness.barrel_only(_at_line(x.symbols, "name"), _at_line(x.refs, "symbol_name"))
 
 
 # --- aggregates
@@ -501,11 +507,11 @@ def tier_stats(x: Index) -> DataFrame:
     return stats.tier_stats(s.where("kind = 'class'").select(F.lit("open").alias("tier"), "uri").unionByName(s.select(F.lit("all").alias("tier"), "uri")))
 
 
-@query("SELECT uri FROM files f LEFT JOIN (SELECT uri AS u, max(mtime) + min(ordinal) % 2 AS m FROM (SELECT uri, ordinal, max(ordinal) OVER (PARTITION BY uri) AS mtime FROM symbols) WHERE ordinal % 3 <> 0 GROUP BY uri) s ON s.u = f.uri WHERE m IS NULL OR m <> mtime")
+@query("SELECT uri FROM files f LEFT JOIN (SELECT uri AS u, max(mtime) + min(ordinal) % 2 AS m FROM (SELECT uri, ordinal, is_exported, max(ordinal) OVER (PARTITION BY uri) AS mtime FROM symbols) WHERE is_exported GROUP BY uri) s ON s.u = f.uri WHERE m IS NULL OR m <> mtime")
 def files_to_reindex(x: Index) -> DataFrame:
     from ..sources import workspace
 
-    w = x.symbols.join(x.files.select("uri", "mtime"), "uri").where("ordinal % 3 <> 0")
+    w = x.symbols.join(x.files.select("uri", "mtime"), "uri").where("is_exported")
     meta = w.groupBy("uri").agg((F.max("mtime") + F.min("ordinal") % 2).alias("mtime"))
     return workspace.needs_reindexing(x.files.select("uri", "mtime"), meta).select("uri")
 
