@@ -66,7 +66,8 @@ def fuzzy_score(name: Column, query: str) -> Column:
 
 
 def directory(uri: Column) -> Column:
-    return F.when(uri.contains("/"), F.regexp_replace(uri, "/[^/]*$", "")).otherwise(F.lit(""))
+    last = F.substring_index(uri, "/", -1)
+    return F.when(uri.contains("/"), F.left(uri, F.length(uri) - F.length(last) - 1)).otherwise(F.lit(""))
 
 
 def in_modules(uri: Column) -> Column:
@@ -94,9 +95,15 @@ def common_depth(a: Column, b: Column) -> Column:
 
 def proximity(uri: Column, site: Column) -> Column:
     """Closeness of a definition's file to the call site's file."""
+    return folder_proximity(uri, directory(uri), directory(site))
+
+
+def folder_proximity(uri: Column, d: Column, s: Column) -> Column:
+    """proximity from the folders d of the definition and s of the call site."""
     add = lambda test, n: F.when(test, n).otherwise(0)
-    d, s = directory(uri), directory(site)
-    near = F.when(d == s, 100).when(d == directory(s), 70).when(directory(d) == directory(s), 50).when(common_depth(d, s) >= 3, 30).otherwise(0)
+    # of different folders, the first three segments are equal exactly if three or more are in common
+    deep = F.substring_index(d, "/", 3) == F.substring_index(s, "/", 3)
+    near = F.when(d == s, 100).when(d == directory(s), 70).when(directory(d) == directory(s), 50).when(deep, 30).otherwise(0)
     return near + add(in_modules(uri), -80) + add(in_build(uri), -40) + add(~in_modules(uri) & ~in_build(uri), 20) + add(uri.contains("/src/"), 10)
 
 

@@ -16,7 +16,7 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFram
     """
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier, depth = seen, 0
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")

@@ -20,14 +20,18 @@ def dead_code(symbols: DataFrame, refs: DataFrame, scope: str | None = None, glo
     uses = refs.select(F.col("symbol_name").alias("name"), F.col("uri").alias("ref_uri"), "line", "character", "container_name", "is_import").distinct()
     where = uses.groupBy("name").agg(F.min("ref_uri").alias("lo"), F.max("ref_uri").alias("hi"))
     unused = exported.join(where, "name", "left").where("lo is null or (lo = uri and hi = uri)").drop("lo", "hi")
-    # uses in the own file: all of them (for confidence), and those that another exported symbol makes
+    # only names without outside uses go on: their uses in the own file, all of them (for confidence) and those that
+    # another exported symbol makes. Null-safe keys keep the optimizer from testing all the file patterns above on each use
+    key = F.col("uri").eqNullSafe(F.col("_u")) & F.col("name").eqNullSafe(F.col("_n"))
     own = uses.withColumnRenamed("ref_uri", "uri").withColumnRenamed("container_name", "ref_container")
-    counted = own.groupBy("uri", "name").agg(F.countDistinct("line", "character").alias("local_uses"))
-    holders = exported.select("uri", F.col("name").alias("holder"), "start_line", "start_character", "end_line", "end_character")
+    own = own.join(unused.select(F.col("uri").alias("_u"), F.col("name").alias("_n")).distinct(), key, "left_semi")
+    counted = own.groupBy(F.col("uri").alias("_u"), F.col("name").alias("_n")).agg(F.countDistinct("line", "character").alias("local_uses"))
+    holders = exported.select(F.col("uri").alias("_u"), F.col("name").alias("holder"), "start_line", "start_character", "end_line", "end_character")
     at, start, end = (F.struct(F.col(a).alias("l"), F.col(b).alias("c")) for a, b in (("line", "character"), ("start_line", "start_character"), ("end_line", "end_character")))
-    used = own.where("not coalesce(is_import, false)").join(holders, "uri").where((F.col("holder") != F.col("name")) & ((F.col("ref_container") == F.col("holder")) | at.between(start, end)))
-    alive = used.select("uri", "name").distinct()
-    dead = unused.join(alive, ["uri", "name"], "left_anti").join(counted, ["uri", "name"], "left")
+    used = own.where("not coalesce(is_import, false)").join(holders, F.col("uri").eqNullSafe(F.col("_u")))
+    used = used.where((F.col("holder") != F.col("name")) & ((F.col("ref_container") == F.col("holder")) | at.between(start, end)))
+    alive = used.select(F.col("uri").alias("_u"), F.col("name").alias("_n")).distinct()
+    dead = unused.join(alive, key, "left_anti").join(counted, key, "left").drop("_u", "_n")
     n = F.coalesce("local_uses", F.lit(0))
     return dead.withColumns({"local_uses": n, "confidence": F.when(n == 0, "high").when(n < 3, "medium").otherwise("low"), "reason": F.when(n == 0, "no references").otherwise("only local references")})
 

@@ -70,10 +70,12 @@ def proximity_winners(candidates: DataFrame, sites: DataFrame) -> DataFrame:
     A score depends on the site's name, folder and container alone, so each such context is ranked once, however many
     sites share it, and sites take their context's winner.
     """
-    placed = sites.withColumn("_dir", F.concat(S.directory(F.col("site_uri")), F.lit("/")))
-    contexts = placed.select("name", F.col("_dir").alias("site_uri"), "container").distinct().withColumn("site_id", F.struct("name", "site_uri", "container"))
-    won = proximity_ranked(candidates, contexts).where("rank = 1").drop("site_id", "rank")
-    won = won.withColumnsRenamed({"name": "_name", "site_uri": "_at", "container": "_container"})
+    placed = sites.withColumn("_dir", S.directory(F.col("site_uri")))
+    contexts = placed.select(F.col("name").alias("_name"), F.col("_dir").alias("_at"), F.col("container").alias("_container")).distinct()
+    both = contexts.join(candidates.withColumn("_d", S.directory(F.col("uri"))), F.col("name") == F.col("_name")).drop("name")
+    match = F.coalesce(F.col("container_name") == F.col("_container"), F.lit(False))
+    both = both.withColumns({"_m": match, "score": S.folder_proximity(F.col("uri"), F.col("_d"), F.col("_at"))})
+    won = first_by(both, ["_name", "_at", "_container"], F.desc("_m"), F.desc("score"), "uri", "line", "character", "ordinal").drop("_m", "_d")
     same = (F.col("name") == F.col("_name")) & (F.col("_dir") == F.col("_at")) & F.col("container").eqNullSafe(F.col("_container"))
     return placed.join(won, same).drop("_name", "_at", "_container", "_dir")
 
