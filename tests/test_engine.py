@@ -210,3 +210,22 @@ def test_static_index(spark, tmp_path):
     assert got == {("A", "class", 1, None), ("B", "enum", 0, "N")}
     (tmp_path / "tsconfig.json").write_text(json.dumps({"compilerOptions": {"paths": {"@app/*": ["src/*"]}}}))
     assert [tuple(r) for r in workspace.path_map(spark, str(tmp_path / "tsconfig.json")).collect()] == [("@app/*", ["src/*"])]
+
+
+def test_shared_winners(spark):
+    """What is found once for each name or context equals what each cursor and site finds alone."""
+    rows = [
+        ("a", "/w/src/m1/f.ts", 1, 0, "class", 1, 0, 9, 5, None, True),
+        ("a", "/w/src/m2/f.ts", 2, 0, "interface", 1, 0, 9, 5, "K", True),
+        ("a", "/w/node_modules/m/f.ts", 3, 4, "class", 3, 0, 4, 5, "K", False),
+        ("b", "/w/src/m1/f.ts", 4, 0, "text", 4, 0, 4, 5, None, None),
+        ("b", "f.ts", 5, 0, "function", 4, 0, 4, 5, "", True),
+    ]
+    symbols = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, uri string, line int, character int, kind string, start_line int, start_character int, end_line int, end_character int, container_name string, is_definition boolean, ordinal int")
+    places = [(n, u, c) for n in ("a", "b", "none") for u in ("/w/src/m1/f.ts", "/w/src/m2/g.ts", "/w/src/m1/deep/g.ts", "f.ts") for c in (None, "K", "Q")]
+    sites = spark.createDataFrame([(i, *p) for i, p in enumerate(places + places[:3])], "site_id int, name string, site_uri string, container string")
+    alone = search.proximity_ranked(symbols, sites).where("rank = 1")
+    assert names(search.proximity_winners(symbols, sites), "site_id", "ordinal", "score") == names(alone, "site_id", "ordinal", "score") != set()
+    cursors = sites.select(F.col("site_id").alias("cursor_id"), "name", F.col("site_uri").alias("cursor_uri"), (F.col("site_id") % 10).alias("cursor_line"), F.lit(0).alias("cursor_character"))
+    alone = search.definition_rules(cursors.join(symbols, "name"))
+    assert names(search.definitions_at(cursors, symbols), "cursor_id", "ordinal") == names(alone, "cursor_id", "ordinal") != set()
