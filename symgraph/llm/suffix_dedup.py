@@ -325,7 +325,8 @@ def dedup(docs: DataFrame, limit: int = SORT_BYTES) -> DataFrame:
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"))
     base = base.withColumn("tag", F.hash("text"))
     listed = repeated(anchors(base)).groupBy("doc_id", "tag").agg(F.collect_set("v").alias("vs"))
-    once = listed.join(base, ["doc_id", "tag"]).select("doc_id", "tag", "text", "vs")
+    # repeated rows send their text once; the rows already lie by these keys, so this moves none
+    once = listed.join(base, ["doc_id", "tag"]).select("doc_id", "tag", "text", "vs").dropDuplicates(["doc_id", "tag"])
     spans = removed(segments(once), limit).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = materialise(spans, "repeated-spans")
     done = apply(base.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans"))

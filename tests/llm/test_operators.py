@@ -382,6 +382,19 @@ def test_suffix_dedup_edges(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.dedup(rows).collect()) == [("5", 0), ("5", 0), ("None", 149)]
 
 
+@pytest.mark.parametrize("limit", [suffix_dedup.SORT_BYTES, 300])
+def test_suffix_dedup_repeated_rows(spark, words, limit):
+    rnd = random.Random(8)
+    texts = {i: " ".join(rnd.choice(words) for _ in range(90)) for i in range(6)}
+    texts[4] += texts[1][50:300]
+    texts[5] = texts[2]
+    rows = [(i, t) for i, t in texts.items() for _ in range(1 + i % 3)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(4), limit).collect()
+    want = dedup_brute(texts)
+    assert len(got) == 2 * len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+    assert want[0][1] == 0 and 0 < want[4][1] < want[4][0]
+
+
 def test_two_stage_order():
     rng = np.random.default_rng(1)
     for _ in range(30):
