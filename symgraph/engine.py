@@ -12,7 +12,8 @@ from .store import Store
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, registry: plugins.Registry | None = None):
+    def __init__(self, spark: SparkSession, root: str, registry: plugins.Registry | None = None, tsconfig: str | None = None):
+        self.tsconfig = tsconfig
         self.spark, self.store = spark, Store(spark, root)
         self.registry = registry or plugins.default_registry()
 
@@ -38,10 +39,14 @@ class Engine:
         return search.complete(self.table("symbols"), prefix, uri, k)
 
     def imports(self) -> DataFrame:
-        return resolve.resolve_imports(self.table("imports"), self.table("files"))
+        return self._resolved(self.table("imports"))
+
+    def _resolved(self, rows: DataFrame) -> DataFrame:
+        path_map = workspace.full_path_map(self.spark, self.tsconfig) if self.tsconfig else None
+        return resolve.resolve_imports(rows, self.table("files"), path_map)
 
     def reexport_edges(self) -> DataFrame:
-        found = resolve.resolve_imports(self.table("reexports").withColumn("is_all", F.coalesce("is_all", F.lit(False))), self.table("files"))
+        found = self._resolved(self.table("reexports").withColumn("is_all", F.coalesce("is_all", F.lit(False))))
         return found.where("resolved_uri is not null").select("uri", F.col("resolved_uri").alias("target"), "is_all", "exported_names")
 
     def definitions(self, cursors: DataFrame) -> DataFrame:

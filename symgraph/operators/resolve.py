@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -55,10 +55,47 @@ def resolve_links(pending: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.withColumn("event", key).withColumn("symbol_name", F.when(F.col("event").isNotNull(), m).otherwise(F.concat_ws(".", "container", "member"))).drop("events")
 
 
-def import_base(imports: DataFrame) -> DataFrame:
-    """imports with base: the path that a relative specifier stands for, without extension; null for others."""
-    path = F.regexp_replace(F.concat_ws("/", S.directory(F.col("uri")), F.regexp_replace("module_specifier", r"^\./", "")), r"/[^/]+/\.\./", "/")
-    return imports.withColumn("base", F.when(F.col("module_specifier").startswith("."), path))
+def folded(path: Column) -> Column:
+    """path without '.' and empty segments, each '..' taken up with the segment before it; at the root it stays there."""
+    root = F.regexp_extract(path, r"^(?:[A-Za-z][A-Za-z0-9+.-]+:)?/*", 0)
+
+    def step(kept: Column, part: Column) -> Column:
+        more = F.concat(kept, F.array(part))
+        up = F.when(F.size(kept) == 0, F.when(root == "", more).otherwise(kept)).when(F.element_at(kept, -1) == "..", more).otherwise(F.slice(kept, 1, F.size(kept) - 1))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(more)
+
+    parts = F.split(F.substring(path, F.char_length(root) + 1, F.char_length(path)), "/")
+    return F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def import_bases(wanted: DataFrame, files: DataFrame, path_map: DataFrame | None = None) -> DataFrame:
+    """wanted (folder, absolute, module_specifier) with each base, a path that may lack its extension, and its rank.
+
+    A relative specifier has one base. Any other has those of the path map (pattern, paths), in its order, then those in
+    the node_modules folders from its own folder upward that files know.
+    """
+    spec = F.col("module_specifier")
+    relative = spec.rlike(r"^\.\.?(/|$)")
+    key = ["folder", "absolute", "module_specifier"]
+    rank = lambda *of: F.struct(*(x.cast("long").alias(f"r{i}") for i, x in enumerate(of))).alias("rank")
+    own = F.when((F.col("folder") == "") & ~F.col("absolute"), spec).otherwise(F.concat_ws("/", "folder", spec))
+    out = wanted.where(relative).select(*key, folded(own).alias("base"), rank(F.lit(0), F.lit(0), F.lit(0)))
+    rest = wanted.where(~relative)
+    if path_map is not None:
+        star = F.instr("pattern", "*")
+        before, after = F.substring_index("pattern", "*", 1), F.expr("substr(pattern, instr(pattern, '*') + 1)")
+        fits = F.when(star == 0, spec == F.col("pattern")).otherwise(spec.startswith(before) & spec.endswith(after) & (F.char_length(spec) >= F.char_length("pattern") - 1))
+        ordered = path_map.select("pattern", "paths", F.monotonically_increasing_id().alias("_m"))
+        part = F.when(star == 0, "").otherwise(F.substring(spec, F.char_length(before) + 1, F.char_length(spec) - F.char_length("pattern") + 1))
+        mapped = rest.join(F.broadcast(ordered), fits).select(*key, "_m", part.alias("_part"), F.posexplode("paths").alias("_k", "_path"))
+        filled = F.when(F.instr("_path", "*") == 0, F.col("_path")).otherwise(F.concat(F.substring_index("_path", "*", 1), "_part", F.expr("substr(_path, instr(_path, '*') + 1)")))
+        out = out.unionByName(mapped.select(*key, folded(filled).alias("base"), rank(F.lit(1), F.col("_m"), F.col("_k"))))
+    cuts = F.split("uri", "(?:^|(?<=/))node_modules/")
+    known = files.where(F.col("uri").rlike("(^|/)node_modules/")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.concat(F.array_join(F.slice(cuts, 1, i), "node_modules/"), F.lit("node_modules")))).alias("_in")).distinct()
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.size(parts), F.lit(0)), lambda i: F.array_join(F.concat(F.slice(parts, 1, i), F.array(F.lit("node_modules"))), "/"))
+    walked = rest.select(*key, F.posexplode(above).alias("_k", "_in")).join(known, "_in")
+    return out.unionByName(walked.select(*key, folded(F.concat_ws("/", "_in", spec)).alias("base"), rank(F.lit(2), F.lit(0), F.col("_k"))))
 
 
 def probe_paths(bases: DataFrame) -> DataFrame:
@@ -70,15 +107,17 @@ def probe_paths(bases: DataFrame) -> DataFrame:
     return bases.select("base", F.posexplode(F.array(*tried)).alias("priority", "path")).where("path is not null")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports with resolved_uri: the first existing candidate; null if none.
+def resolve_imports(imports: DataFrame, files: DataFrame, path_map: DataFrame | None = None) -> DataFrame:
+    """imports with resolved_uri: the first existing candidate; null if none. path_map: (pattern, paths), full paths.
 
     Many imports stand for one path, so paths are probed once each, not once for each import.
     """
-    based = import_base(imports)
-    found = probe_paths(based.select("base").where("base is not null").distinct()).join(files.select(F.col("uri").alias("path")).distinct(), "path")
-    best = found.groupBy("base").agg(F.min_by("path", "priority").alias("resolved_uri"))
-    return based.join(best, "base", "left").drop("base")
+    key = ["folder", "absolute", "module_specifier"]
+    placed = imports.withColumns({"folder": S.directory(F.col("uri")), "absolute": F.col("uri").startswith("/")})
+    bases = import_bases(placed.select(*key).distinct(), files, path_map)
+    found = probe_paths(bases.select("base").distinct()).join(files.select(F.col("uri").alias("path")).distinct(), "path")
+    best = bases.join(found, "base").groupBy(*key).agg(F.min_by("path", F.struct("rank", "priority")).alias("resolved_uri"))
+    return placed.join(best, key, "left").select(*imports.columns, "resolved_uri")
 
 
 def import_of(imports: DataFrame) -> DataFrame:

@@ -55,3 +55,13 @@ def path_map(spark: SparkSession, tsconfig: str) -> DataFrame:
     text = spark.read.text(tsconfig, wholetext=True)
     entries = F.from_json(F.get_json_object("value", "$.compilerOptions.paths"), "map<string, array<string>>")
     return text.select(F.explode(entries).alias("pattern", "paths"))
+
+
+def full_path_map(spark: SparkSession, tsconfig: str) -> DataFrame:
+    """path_map with paths from the configuration's folder and its baseUrl on, as resolve_imports takes them."""
+    text = spark.read.text(tsconfig, wholetext=True)
+    base = F.coalesce(F.get_json_object("value", "$.compilerOptions.baseUrl"), F.lit(".")).alias("_base")
+    folder = S.directory(S.normal_uri(F.regexp_replace(F.lit(tsconfig), "^file:(//)?(?=/)", "")))
+    under = lambda a, b: F.when(b.startswith("/"), b).otherwise(F.concat_ws("/", a, b))
+    rows = path_map(spark, tsconfig).crossJoin(F.broadcast(text.select(base)))
+    return rows.select("pattern", F.transform("paths", lambda p: under(under(folder, F.col("_base")), p)).alias("paths"))

@@ -229,3 +229,22 @@ def test_shared_winners(spark):
     cursors = sites.select(F.col("site_id").alias("cursor_id"), "name", F.col("site_uri").alias("cursor_uri"), (F.col("site_id") % 10).alias("cursor_line"), F.lit(0).alias("cursor_character"))
     alone = search.definition_rules(cursors.join(symbols, "name"))
     assert names(search.definitions_at(cursors, symbols), "cursor_id", "ordinal") == names(alone, "cursor_id", "ordinal") != set()
+
+
+def test_import_paths(spark, tmp_path):
+    from symgraph.operators import resolve
+
+    (tmp_path / "tsconfig.json").write_text(json.dumps({"compilerOptions": {"baseUrl": "./base", "paths": {"@app/*": ["gone/*", "../src/*"], "core": ["../src/core/index.ts"]}}}))
+    ws = str(tmp_path)
+    files = [f"{ws}/src/x.ts", f"{ws}/src/core/index.ts", f"{ws}/src/a/b/c/d.ts", f"{ws}/node_modules/lib/index.d.ts", f"{ws}/src/a/node_modules/lib/index.js", f"{ws}/node_modules/pkg/node_modules/sub.js"]
+    want = {
+        "../../../x": files[0], "./../../../core/": files[1], ".././c/../../../x.js": files[0], "../../../../../src/x": None, ".": None, "../../gone": None,
+        "@app/x": files[0], "@app/core": files[1], "@app/none": None, "core": files[1], "lib": files[4], "pkg/node_modules/sub": files[5], "react": None,
+    }
+    imports = spark.createDataFrame([(files[2], i, s) for i, s in enumerate(want)], "uri string, ordinal int, module_specifier string")
+    found = spark.createDataFrame([(f,) for f in files], "uri string")
+    got = resolve.resolve_imports(imports, found, workspace.full_path_map(spark, f"file://{ws}/tsconfig.json"))
+    assert {r.module_specifier: r.resolved_uri for r in got.collect()} == want and got.columns == [*imports.columns, "resolved_uri"]
+    bare = spark.createDataFrame([("/a/b.ts", "../../c"), ("p/q/r.ts", "../../c"), ("t.ts", "./c"), ("t.ts", "lib")], "uri string, module_specifier string")
+    known = spark.createDataFrame([("/c.ts",), ("c.ts",), ("node_modules/lib/index.ts",)], "uri string")
+    assert sorted((r.uri, r.resolved_uri) for r in resolve.resolve_imports(bare, known).collect()) == [("/a/b.ts", "/c.ts"), ("p/q/r.ts", "c.ts"), ("t.ts", "c.ts"), ("t.ts", "node_modules/lib/index.ts")]
