@@ -27,7 +27,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources reach their weights, in shuffled order."""
-    return mixing.mix(docs, mixing.rates(docs)).select(*docs.columns)
+    return mixing.mix(docs, mixing.rates(docs), most_rate=None).select(*docs.columns)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from (seed, doc_id), so it needs no state and a retried task repeats it. Copies
 by a hash of (seed, doc_id, copy), which also spreads a hot source evenly.
 
 Null source: a source of its own. Null or empty text: adds no size, and is drawn like any other row; a source with no
-characters at all has rate 0. Repeated rows draw the same number of copies. Rates over 500 are refused by an error.
+characters at all has rate 0. Repeated rows draw the same number of copies. Any rate is drawn exactly by the query and the
+pipeline; mix() itself refuses rates over most_rate by an error unless that is None. n_copies is an int, so a document
+can't have 2^31 copies or more.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ SEED = 17
 TEMPERATURE = 0.5
 #: Characters of the mixture, as a multiple of the input.
 BUDGET = 1.0
+#: mix() refuses higher rates unless told otherwise.
 MOST_RATE = 500
+#: Up to this rate probabilities are summed from 0 on; exp(-rate) vanishes at about 745.
+FROM_ZERO = 500
+#: Copies that one array lists.
+COPIES = 1 << 16
 #: A table of at most so many rates is broadcast (some 10 MB); a longer one is joined by shuffling.
 MOST_BROADCAST = 100_000
 
@@ -47,8 +54,26 @@ def uniform(seed: int, *of: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """Least n with u < P(X <= n), X Poisson with this mean."""
+def _far_inverse(u: Column, rate: Column) -> Column:
+    """The same for a high rate, from terms relative to the first one, 10 deviations and more below the mean.
+
+    What lies outside the terms has a probability under 2^-52, the step of u.
+    """
+    wide = 10 * F.sqrt(rate) + 40
+    first, last = F.floor(rate - wide), F.ceil(rate + wide)
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("c"), first.alias("n"))
+
+    def add(s: Column, i: Column) -> Column:
+        p = s["p"] * rate / i
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.alias("n"))
+
+    terms = F.sequence(first + 1, last)
+    bound = u * F.aggregate(terms, start, add, lambda s: s["c"])
+    return F.transform(F.array(bound), lambda b: F.aggregate(terms, start, lambda s, i: F.when(b >= s["c"], add(s, i)).otherwise(s), lambda s: s["n"]))[0].cast("int")
+
+
+def poisson_inverse(u: Column, rate: Column, most_rate: float | None = MOST_RATE) -> Column:
+    """Least n with u < P(X <= n), X Poisson with this mean; an error over most_rate if given."""
     last = F.ceil(rate + 10 * F.sqrt(rate) + 40).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
 
@@ -57,23 +82,26 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
         return F.when(u >= s["c"], F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.alias("n"))).otherwise(s)
 
     found = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])
-    return F.when(rate > MOST_RATE, F.raise_error(F.lit("repetition rate over 500")).cast("int")).otherwise(found)
+    drawn = F.when(rate <= FROM_ZERO, found).otherwise(_far_inverse(u, rate))
+    return drawn if most_rate is None else F.when(rate > most_rate, F.raise_error(F.lit(f"repetition rate over {most_rate}")).cast("int")).otherwise(drawn)
 
 
-def mix(docs: DataFrame, rate_table: DataFrame, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, rate_table: DataFrame, seed: int = SEED, most_rate: float | None = MOST_RATE) -> DataFrame:
     """docs with copy_no (from 1) and n_copies, a row for each copy, in globally shuffled order."""
     r = rate_table.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
     if rate_table.count() <= MOST_BROADCAST:
         r = F.broadcast(r)  # the join then moves no text, and a hot source stays where it is
-    drawn = docs.join(r, F.col("source").eqNullSafe(F.col("_s"))).withColumn("n_copies", poisson_inverse(uniform(seed, F.col("doc_id")), F.col("_rate"))).drop("_s", "_rate")
-    copies = drawn.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    drawn = docs.join(r, F.col("source").eqNullSafe(F.col("_s"))).withColumn("n_copies", poisson_inverse(uniform(seed, F.col("doc_id")), F.col("_rate"), most_rate)).drop("_s", "_rate")
+    parts = drawn.where("n_copies > 0").withColumn("_part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_copies - 1) div {COPIES} as int)"))))
+    until = F.least(F.col("n_copies"), (F.col("_part") + 1).cast("long") * COPIES).cast("int")
+    copies = parts.withColumn("copy_no", F.explode(F.sequence(F.col("_part") * COPIES + 1, until))).drop("_part")
     place = F.xxhash64(F.lit(seed), "doc_id", "copy_no")
     return copies.withColumn("_place", place).repartition(partitions(docs.sparkSession), "_place").sortWithinPartitions("_place", "doc_id").drop("_place")
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, rates(docs)).select("doc_id", "copy_no", "n_copies", "source", "text")
+    return mix(docs, rates(docs), most_rate=None).select("doc_id", "copy_no", "n_copies", "source", "text")
 
 
 SQL = f"""

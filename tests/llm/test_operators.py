@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -79,6 +80,35 @@ def test_mixing_edges(spark):
         mixing.mix(docs, spark.createDataFrame([(None, 501.0)], "source string, rate double")).count()
 
 
+def exact_inverse(u, rate):
+    """By logarithms, term by term from 0."""
+    n, c = 0, 0.0
+    while True:
+        c += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        if u < c:
+            return n
+        n += 1
+
+
+def test_mixing_high_rates(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 700)
+    rates = {"near": 500.0, "over": 501.0, "far": 2500.5, "most": 20000.25}
+    docs = docs_of(spark, ["ab"] * 8, source={i: list(rates)[i % 4] for i in range(8)})
+    got = mixing.mix(docs, spark.createDataFrame(list(rates.items()), "source string, rate double"), most_rate=None).groupBy("doc_id", "source", "n_copies").agg({"copy_no": "max", "*": "count"}).collect()
+    assert len(got) == 8
+    for r in got:
+        u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        assert r.n_copies == r["max(copy_no)"] == r["count(1)"] == exact_inverse(u, rates[r.source])
+
+
+def test_tiny_source_passes(spark, tmp_path):
+    rows = [(i, f"s{i}", "x" * 1_000_000) for i in range(4)] + [(9, "tiny", "y")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {r.source: r["count"] for r in mixing.op1_poisson_mix(spark, str(tmp_path)).groupBy("source").count().collect()}
+    u = int(hashlib.md5(f"{mixing.SEED}:9".encode()).hexdigest()[:13], 16) / 2**52
+    assert counts["tiny"] == exact_inverse(u, 4_000_001 / 4001)
+
+
 # 2 quality
 
 
