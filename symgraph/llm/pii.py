@@ -29,6 +29,8 @@ _DATE = r"(?<![A-Za-z0-9])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[/.]\d{2}[
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _CREDENTIAL = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|token = \"[0-9a-f]{40}\"|password=[A-Za-z0-9]{8,64}"
 PATTERN = "|".join((_MAIL, _CARD, _PHONE, _SSN, _IBAN, _IP, _DATE, _CREDENTIAL))
+#: Every match of PATTERN has one of these; the credentials need no digit.
+_SIGN = r"[0-9@]|AKIA|token = \"|password="
 _DIGITS, _HEX, _LOWER, _UPPER = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -202,7 +204,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """docs with column rewritten and n_values, the number of values replaced."""
     text = F.col(column)
-    likely = text.rlike("[0-9@]") & text.rlike(PATTERN)
+    likely = text.rlike(_SIGN) & text.rlike(PATTERN)
     found = docs.withColumn("_found", F.when(likely, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")))
     found = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
     pieces = F.split(text, PATTERN, -1)

@@ -291,6 +291,13 @@ def test_more_numbers(spark):
     assert re.fullmatch(r"GB\d\dWEST\d{14}", w[6]) and mod(w[6]) == 1 and re.fullmatch(r"20\d\d/\d\d/\d\d", w[8]) and w[8] != "2020/01/02"
 
 
+def test_credentials_without_digits(spark):
+    values = ["password=correcthorse", "AKIA" + "QWERTYUIOPASDFGH", 'token = "' + "abcdef" * 6 + 'abcd"']
+    got = pii.pseudonymise(docs_of(spark, [f"is {v} so" for v in values] + [f"is {v} so 7" for v in values])).orderBy("doc_id").collect()
+    for v, bare, other in zip(values, got[:3], got[3:], strict=True):
+        assert v not in bare.text and bare.n_values == 1 and other.text == bare.text + " 7"
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
