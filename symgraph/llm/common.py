@@ -8,8 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
@@ -40,24 +39,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes the files behind a table of materialise() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes the files of tables of materialise(), once all that was to be read from them has been written."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this that df hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def held_out() -> "F.Column":
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+def held_out() -> Column:
+    """crc32 of doc_id as text, modulo 4, is 2; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def text_array(column: pa.Array) -> pa.Array:
@@ -89,27 +101,21 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node reachable.
 
-    Minimum labels travel along edges and jump through their owners' labels; each round is checkpointed in the
-    shared folder. No row is collected. Joins look labels up by a unique key, so a hot node splits as a skewed join.
+    Minimum labels travel along edges and jump through their owners' labels; each round is written to the shared folder
+    and the one before it deleted. No row is collected. Joins look labels up by a unique key, so a hot node splits as a
+    skewed join.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
     pairs = edges.select(F.col(a).alias("s"), F.col(b).alias("d")).where("s <> d")
-    pairs = pairs.unionByName(pairs.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct().checkpoint()
-    labels = pairs.groupBy(F.col("s").alias("node")).agg(F.least(F.col("s"), F.min("d")).alias("label")).checkpoint()
-    while True:
+    pairs = materialise(pairs.unionByName(pairs.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct(), "pairs")
+    labels = materialise(pairs.groupBy(F.col("s").alias("node")).agg(F.least(F.col("s"), F.min("d")).alias("label"), F.lit(True).alias("changed")), "labels")
+    while not labels.where("changed").isEmpty():
         by = labels.select(F.col("node").alias("d"), F.col("label").alias("seen"))
         near = pairs.join(by, "d").groupBy(F.col("s").alias("node")).agg(F.min("seen").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        after = (
-            step.join(jump, "low", "left")
-            .select("node", F.least("low", F.coalesce("far", "low")).alias("label"), (F.least("low", F.coalesce("far", "low")) != F.col("label")).alias("changed"))
-            .checkpoint()
-        )
-        labels = after.select("node", "label")
-        if after.where("changed").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-
-
-__all__ = ["BLOCK_BYTES", "StorageLevel", "blocks", "components", "held_out", "materialise", "new_dir", "partitions", "raw", "remove", "shared_dir", "table", "text_array"]
+        low = F.least("low", F.coalesce("far", "low"))
+        after = materialise(step.join(jump, "low", "left").select("node", low.alias("label"), (low != F.col("label")).alias("changed")), "labels")
+        remove(labels)
+        labels = after
+    remove(pairs)
+    return labels.select("node", F.col("label").alias("component"))

@@ -99,7 +99,7 @@ class Model:
 
 def train(docs: DataFrame, bits: int = BITS, max_docs: int = TRAIN_DOCS, seed: int = 7) -> Model:
     """docs (doc_id, text, lang): learns from about max_docs of the rows with text and lang that are not held out."""
-    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     share = max_docs / max(1, labelled.count())
     if share < 1:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))

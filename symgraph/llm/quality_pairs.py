@@ -115,7 +115,7 @@ class Ranker:
 
 def train(vectors: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, seed: int = 5) -> Ranker:
     """Of features() and labels (doc_id, quality); held-out documents are left out."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     share = max_docs / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
