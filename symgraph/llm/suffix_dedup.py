@@ -3,8 +3,9 @@
 1. Anchors. The windows of LENGTH bytes of a text are cut into runs that share the least hash of their 32-byte strings.
    Equal windows have equal least hashes, so a window can repeat only if its run's hash does. Hashes are counted by
    Spark, once for each block of texts, and runs whose hash stands alone are done.
-2. Segments. The bytes of the other runs go to the task of their hash. A block of texts sends equal segments once; the
-   later ones are removed as they stand.
+2. Segments. The bytes of the other runs go to the task of their hash. A task goes through its documents in order and
+   sends equal segments once, as far as it remembers them in bounded memory; the later ones are removed as they stand. A
+   passage that stands in a third of all documents so arrives about once for each task that read texts.
 3. Two-stage suffix sorting over the segments of a task: only suffixes smaller than their successors (type S) are sorted
    directly; a scan of the buckets from the smallest character on places all others (type L) by the suffix after them.
    Neighbours with a common prefix of LENGTH bytes are repeats, and all but the first start are removed.
@@ -13,7 +14,8 @@
 "Earlier" is a smaller doc_id, or an earlier start in the same document; strings are judged on the input. Matches never
 cross documents. Null text counts as empty; texts under LENGTH bytes lose nothing. Rows that repeat doc_id and text are
 one document and get the same result each; rows that repeat doc_id with another text go in order of a hash of the text.
-A null doc_id comes before all others. Other columns are not read.
+A null doc_id comes before all others. An empty table gives no rows. A very long text is a block of its own, some 60 bytes
+for each of its bytes in that task. Other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of segments that one suffix array takes, unless one hash has more (those go in parts of this size).
 SORT_BYTES = 2 << 20
+#: Bytes of segments that a task remembers as sent, in each of two generations.
+SEEN_BYTES = 16 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NO_ID = -(1 << 63)
 
@@ -215,11 +219,29 @@ def _spans(doc, tag, start, windows, gone, owner):
 _SEGMENT = ["v", "doc_id", "tag", "start", "stop", "windows", "bytes"]
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, tag, text, vs): segments of runs with a hash in vs; those equal to an earlier one of their block
-    come without bytes, as spans (start, stop) to remove."""
+class Seen:
+    """Which of the last strings have come before; what keeps coming is kept, the rest is forgotten when room is needed."""
+
+    def __init__(self, limit: int = SEEN_BYTES):
+        self.limit, self.size, self.old, self.new = limit, 0, set(), set()
+
+    def before(self, x: bytes) -> bool:
+        if x in self.new:
+            return True
+        again = x in self.old
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, set(), 0
+        self.new.add(x)
+        self.size += len(x)
+        return again
+
+
+def segments(docs: DataFrame, remembered: int = SEEN_BYTES) -> DataFrame:
+    """docs (doc_id, tag, text, vs), each partition in order of (doc_id, tag): segments of runs with a hash in vs; those
+    equal to one that their task still remembers come without bytes, as spans (start, stop) to remove."""
 
     def run(batches):
+        seen = Seen(remembered)
         for batch in batches:
             for rows, texts in blocks(batch, "text"):
                 data, offsets = raw(texts)
@@ -230,13 +252,12 @@ def segments(docs: DataFrame) -> DataFrame:
                 mix = lambda d, x: (x.view(np.uint64) ^ (d.astype(np.uint64) * _M1)) * _M2
                 hit = np.flatnonzero(np.isin(mix(doc, v), mix(owner, flat)))
                 ids, tags = (rows.column(c).to_numpy() for c in ("doc_id", "tag"))
-                hit = hit[np.lexsort((start[hit], tags[doc[hit]], ids[doc[hit]]))]
-                whole, seen, out = data.tobytes(), {}, []
+                hit = hit[np.lexsort((start[hit], doc[hit]))]
+                whole, out = data.tobytes(), []
                 for i in hit:
                     piece = whole[start[i] : start[i] + windows[i] + LENGTH - 1]
                     d, at = doc[i], int(start[i] - offsets[doc[i]])
-                    new = seen.setdefault(piece, i) == i
-                    out.append((v[i], ids[d], tags[d], at, at + len(piece), windows[i], piece if new else None))
+                    out.append((v[i], ids[d], tags[d], at, at + len(piece), windows[i], None if seen.before(piece) else piece))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], _SEGMENT)
 
@@ -319,15 +340,15 @@ def apply(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def dedup(docs: DataFrame, limit: int = SORT_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, limit: int = SORT_BYTES, remembered: int = SEEN_BYTES) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"))
     base = base.withColumn("tag", F.hash("text"))
     listed = repeated(anchors(base)).groupBy("doc_id", "tag").agg(F.collect_set("v").alias("vs"))
     # repeated rows send their text once; the rows already lie by these keys, so this moves none
-    once = listed.join(base, ["doc_id", "tag"]).select("doc_id", "tag", "text", "vs").dropDuplicates(["doc_id", "tag"])
-    spans = removed(segments(once), limit).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    once = listed.join(base, ["doc_id", "tag"]).select("doc_id", "tag", "text", "vs").dropDuplicates(["doc_id", "tag"]).sortWithinPartitions("doc_id", "tag")
+    spans = removed(segments(once, remembered), limit).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = materialise(spans, "repeated-spans")
     done = apply(base.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans"))
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
