@@ -3,7 +3,8 @@
 Every metric is a Column over one text, every rule of RULES a comparison of a metric with its bounds; compile_rules()
 folds them into the verdict. Words are runs of ``[^\\x20\\x09-\\x0D]``. Null text counts as empty: all metrics 0,
 base_failed (under 20 words), not kept. A ratio of an empty text is 0. Rows are judged alone, so repeated rows, ties and
-other columns change nothing.
+null ids change nothing. Windows of words are equal when their 64-bit hashes are. A very long text is one row of arrays.
+Other columns than doc_id and text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,7 +53,10 @@ def _covered(hashes: Column) -> Column:
 
 def n_repeat_words(words: Column) -> Column:
     """Words of windows of 8 words that the text has twice or more, the first included."""
-    hashes = F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    no_window = F.array().cast("array<bigint>")
+    # a word is hashed once, a window from the hashes of its words
+    of_windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+    hashes = F.when(F.size(words) < WINDOW, no_window).otherwise(let(F.transform(words, lambda x: F.xxhash64(x)), of_windows))
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_covered(h)))
 
 
@@ -62,7 +66,7 @@ def metrics() -> dict[str, Column]:
     n, n_lines = F.size(w).cast("long"), F.size(lines)
     of_words = lambda x: F.when(n > 0, x / n).otherwise(0.0)
     of_lines = lambda x: F.when(n_lines > 0, x / n_lines).otherwise(0.0)
-    stop = F.array(*(F.lit(x) for x in sorted({x for v in STOP_WORDS.values() for x in v.split()})))
+    stop = sorted({x for v in STOP_WORDS.values() for x in v.split()})
     chars = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
     dup = (n_lines - F.size(F.array_distinct(lines))).cast("long")
     symbols = F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long")
@@ -77,7 +81,7 @@ def metrics() -> dict[str, Column]:
         "symbol_word_ratio": of_words(F.col("n_symbols")),
         "upper_word_ratio": of_words(count(r"(?<![^ \t-\r])[A-Z]{2,}[^a-z \t-\r]*(?![^ \t-\r])")),
         "alpha_word_ratio": of_words(count(r"(?<![^ \t-\r])[^ \t-\r]*?\p{L}")),
-        "stop_word_ratio": of_words(F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x))))),
+        "stop_word_ratio": of_words(F.size(F.filter(w, lambda x: F.lower(x).isin(stop)))),
         "bullet_line_ratio": of_lines(count(r"(?md)^[ \t]*[-*•]")),
         "ellipsis_line_ratio": of_lines(count(r"(?md)(?:\.\.\.|…)[ \t]*$")),
         "stutter_ratio": of_words(F.size(F.filter(w, lambda x, i: x == F.coalesce(F.get(w, i - 1), F.lit(""))))),
