@@ -214,7 +214,7 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: in
         alike = alike.withColumn("digest", F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))).join(marks, ["pid", "h", "digest"], "left").withColumn("room", room)
         parts = alike.withColumn("i", F.explode(F.expr("sequence(0l, (n - 1) div room)"))).withColumn("copy", F.col("i") * F.col("room"))
         records = records.unionByName(parts.select("*", (shard_of("pid", "h") + F.col("i")).alias("shard"), F.lit(1).alias("kind"), F.least(F.col("room"), F.col("n") - F.col("copy")).alias("copies")).select(*columns))
-    ordered = records.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "pid", "h", "kind", "digest", "url", "html")
+    ordered = records.repartitionById(partitions(spark), F.pmod("shard", F.lit(partitions(spark))).cast("int")).sortWithinPartitions("shard", "pid", "h", "kind", "digest", "url", "html")
 
     def run(batches):
         roller, known, last = None, {}, None
