@@ -21,13 +21,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymise(docs).withColumn("n_chars", F.when(F.col("n_values") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    done = pii.pseudonymise(docs, pii.key_of(spark)).withColumn("n_chars", F.when(F.col("n_values") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources reach their weights, in shuffled order."""
-    return mixing.mix(docs, mixing.rates(docs), most_rate=None).select(*docs.columns)
+    return mixing.mix(docs, mixing.rates(docs)).select(*docs.columns)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

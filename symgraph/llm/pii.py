@@ -1,14 +1,16 @@
 """PII: format-preserving Feistel pseudonyms, by DataFrame functions only.
 
-Found and validated: payment card numbers (13 to 19 digits, Luhn), phone, social security and international bank
-account numbers, IPv4 addresses, calendar dates,
-mail addresses (the local part), and three forms of credentials. A value's characters are permuted by a keyed Feistel
-network over their own alphabet; separators and length stay, a card's check digit is made anew, an address stays four
-octets, a date stays a date of its century. The same value gets the same pseudonym in every document, different values
-different ones. A string that fails validation is left alone.
-
-Null text stays null, empty text empty; other text around values is untouched whatever its length; all other columns
-pass through; repeated rows get equal results.
+Found and validated: payment card numbers (13 to 19 digits, Luhn), phone numbers (a country code that exists and 8 to 15
+digits, or the North American forms), social security and international bank account numbers (mod 97; whole or in groups
+of four), IPv4 addresses, calendar dates, mail addresses (the local part), and three forms of credentials. A value's
+characters are permuted by a keyed Feistel network over their own alphabet; separators and length stay, a card's check
+digit is made anew, an address stays four octets, a date stays a date of its century, a phone keeps its country code. The
+same value gets the same pseudonym in every document and whatever its separators, different values different ones. A
+string that fails validation is left alone.
+
+The key is the caller's; the queries read it from the session's KEY_SETTING. Null text stays null, empty text empty; other
+text around values is untouched whatever its length; all other columns pass through, but for an n_values of the input,
+which the result's replaces; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,15 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-KEY = "symgraph-demo-key"
+#: The session's setting that holds the key, and what the queries take where it is unset.
+KEY_SETTING, DEMO_KEY = "spark.symgraph.pii.key", "symgraph-demo-key"
 ROUNDS = 10
 _CARD = r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])"
-_PHONE = r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![A-Za-z0-9])"
+_PHONE = (
+    r"(?<![A-Za-z0-9+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{2,3}[ .-]\d{1,3}(?:[ .-]\d{2}){3,4}"
+    r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]\d{2,5}[ .-]\d{4,9}|\+\d{1,3}[ .-]\d{5,12}|\+\d{8,15}"
+    r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![A-Za-z0-9])"
+)
+#: How many digits country calling codes have.
+_COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9][0-9])"
 _IP = r"(?<![A-Za-z0-9.])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9]|\.\d)"
 _SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![A-Za-z0-9]|-\d)"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 _DATE = r"(?<![A-Za-z0-9])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![A-Za-z0-9])"
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _CREDENTIAL = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|token = \"[0-9a-f]{40}\"|password=[A-Za-z0-9]{8,64}"
@@ -42,7 +51,7 @@ def _count_to(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def feistel(s: Column, alphabet: str, kind: str, key: str = KEY) -> Column:
+def feistel(s: Column, alphabet: str, kind: str, key: str) -> Column:
     """A keyed permutation of the strings over alphabet with s's length."""
     base, letters = len(alphabet), F.lit(alphabet)
     half = F.floor(F.char_length(s) / 2).cast("int")
@@ -87,7 +96,7 @@ def _luhn(digits: Column, shift: int) -> Column:
     return F.aggregate(_count_to(F.char_length(digits)), F.lit(0), lambda a, i: a + worth(i))
 
 
-def card(m: Column, key: str = KEY) -> Column:
+def card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         body = let(feistel(F.substring(d, F.lit(1), F.char_length(d) - 1), _DIGITS, "card", key), lambda b: F.concat(b, F.pmod(-_luhn(b, 1), F.lit(10)).cast("string")))
         return F.when(_luhn(d, 0) % 10 == 0, let(body, lambda b: refill(m, b, "[0-9]"))).otherwise(m)
@@ -95,12 +104,17 @@ def card(m: Column, key: str = KEY) -> Column:
     return let(only(m, "[^0-9]"), new)
 
 
-def phone(m: Column, key: str = KEY) -> Column:
-    code = F.when(m.startswith("+1"), F.lit("+1")).otherwise(F.regexp_extract(m, r"^\+\d{1,3}", 0))
-    return let(code, lambda c: let(F.substring(m, F.char_length(c) + 1, F.char_length(m)), lambda t: F.concat(c, let(feistel(only(t, "[^0-9]"), _DIGITS, "phone", key), lambda d: refill(t, d, "[0-9]")))))
+def phone(m: Column, key: str) -> Column:
+    def new(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(d, _COUNTRY, 0)).otherwise("")
+        fine = ~m.startswith("+") | ((F.char_length(code) > 0) & F.char_length(d).between(8, 15))
+        own = F.substring(d, F.char_length(code) + 1, F.char_length(d))
+        return F.when(fine, let(F.concat(code, feistel(own, _DIGITS, "phone", key)), lambda n: refill(m, n, "[0-9]"))).otherwise(m)
+
+    return let(only(m, "[^0-9]"), new)
 
 
-def address(m: Column, key: str = KEY) -> Column:
+def address(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("int"))
     as_hex = lambda p: F.array_join(F.transform(p, lambda x: F.lower(F.lpad(F.conv(x.cast("string"), 10, 16), 2, "0"))), "")
     back = lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10)), ".")
@@ -111,7 +125,7 @@ def address(m: Column, key: str = KEY) -> Column:
 _CENTURY = {36524: (92, 397), 36525: (75, 487)}
 
 
-def date(m: Column, key: str = KEY) -> Column:
+def date(m: Column, key: str) -> Column:
     """ISO, or day first with / or ., or month first where day first is no date; years 1000 to 9999."""
     formats = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d\d/\d\d/", "dd/MM/yyyy"), (r"^\d\d\.\d\d\.", "dd.MM.yyyy"), (r"^\d\d/\d\d/", "MM/dd/yyyy")]
 
@@ -137,11 +151,11 @@ def date(m: Column, key: str = KEY) -> Column:
     out = m
     for start, form in reversed(formats):
         day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        out = F.when(m.rlike(start) & day.isNotNull() & (F.year(day) >= 1000) & (F.year(day) < 9900), let(day, shown(form))).otherwise(out)
+        out = F.when(m.rlike(start) & day.isNotNull() & (F.year(day) >= 1000) & (F.year(day) <= 9999), let(day, shown(form))).otherwise(out)
     return out
 
 
-def social(m: Column, key: str = KEY) -> Column:
+def social(m: Column, key: str) -> Column:
     """A social security number; the network is walked on until its result is a valid number again."""
     fine = lambda d: d.rlike(r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$")
     once = lambda d: feistel(d, _DIGITS, "ssn", key)
@@ -156,23 +170,29 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_count_to(F.char_length(s)), F.lit(0), lambda a, i: add(a, F.substring(s, i, F.lit(1))))
 
 
-def iban(m: Column, key: str = KEY) -> Column:
-    """The account part's digits are permuted and the check digits made anew; country and letters stay."""
-    country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.char_length(m))
-    valid = _mod97(F.concat(account, F.substring(m, 1, 4))) == 1
+def iban(m: Column, key: str) -> Column:
+    """The account part's digits are permuted and the check digits made anew; country, letters and spaces stay."""
 
-    def checked(a: Column) -> Column:
-        return F.concat(country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
+    def of(v: Column) -> Column:
+        country, account = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.char_length(v))
+        checked = lambda a: F.concat(country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
+        return let(let(feistel(only(account, "[^0-9]"), _DIGITS, "iban", key), lambda d: refill(account, d, "[0-9]")), checked)
 
-    return F.when(valid, let(let(feistel(only(account, "[^0-9]"), _DIGITS, "iban", key), lambda d: refill(account, d, "[0-9]")), checked)).otherwise(m)
+    def valid(part: Column) -> Column:
+        return let(only(part, " "), lambda v: F.char_length(v).between(15, 34) & (_mod97(F.concat(F.substring(v, F.lit(5), F.char_length(v)), F.substring(v, 1, 4))) == 1))
 
+    # a word in capitals after the last group may look like one
+    parts = F.array(m, F.regexp_replace(m, " [A-Z0-9]+$", ""), F.regexp_replace(m, "(?: [A-Z0-9]+){2}$", ""))
+    found = F.get(F.filter(parts, valid), F.lit(0))
+    return let(found, lambda part: F.when(part.isNull(), m).otherwise(F.concat(let(of(only(part, " ")), lambda v: refill(part, v, "[A-Z0-9]")), F.substring(m, F.char_length(part) + 1, F.char_length(m)))))
 
-def mail(m: Column, key: str = KEY) -> Column:
+
+def mail(m: Column, key: str) -> Column:
     name, rest = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
     return F.concat(let(F.lower(name), lambda n: let(feistel(only(n, "[^a-z0-9]"), _LOWER, "mail", key), lambda d: refill(n, d, "[a-z0-9]"))), rest)
 
 
-def credential(m: Column, key: str = KEY) -> Column:
+def credential(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, r"^(AKIA|token = \"|password=)", 1)
 
     def new(h: Column) -> Column:
@@ -186,7 +206,7 @@ def credential(m: Column, key: str = KEY) -> Column:
     return let(head, new)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of PATTERN."""
     whole = lambda p: m.rlike("^(?:" + p + ")$")
     return (
@@ -201,18 +221,22 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with column rewritten and n_values, the number of values replaced."""
-    text = F.col(column)
+    text, found, new = F.col(column), fresh(docs, "_found"), fresh(docs, "_new")
     likely = text.rlike(_SIGN) & text.rlike(PATTERN)
-    found = docs.withColumn("_found", F.when(likely, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    values = docs.withColumn(found, F.when(likely, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>")))
+    values = values.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
     pieces = F.split(text, PATTERN, -1)
-    joined = let(pieces, lambda p: F.array_join(F.concat(F.flatten(F.zip_with(F.slice(p, F.lit(1), F.size("_new")), F.col("_new"), lambda a, b: F.array(a, b))), F.slice(p, -1, 1)), ""))
-    out = F.when(F.size("_new") > 0, joined).otherwise(text)
-    n = F.coalesce(F.aggregate(F.arrays_zip("_found", "_new"), F.lit(0), lambda a, x: a + (x["_found"] != x["_new"]).cast("int")), F.lit(0))
-    return found.withColumns({column: out, "n_values": n}).drop("_found", "_new")
+    joined = let(pieces, lambda p: F.array_join(F.concat(F.flatten(F.zip_with(F.slice(p, F.lit(1), F.size(new)), F.col(new), lambda a, b: F.array(a, b))), F.slice(p, -1, 1)), ""))
+    out = F.when(F.size(new) > 0, joined).otherwise(text)
+    n = F.coalesce(F.aggregate(F.zip_with(found, new, lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x), F.lit(0))
+    return values.withColumns({column: out, "n_values": n}).drop(found, new)
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
