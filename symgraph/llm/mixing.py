@@ -3,12 +3,13 @@
 A source of weight w (share of the mixture) and size c (characters, over all documents) gets the mean repetition rate
 w * budget / c. A document's number of copies is the inverse Poisson distribution function at a uniform number hashed
 from (seed, doc_id), so it needs no state and a retried task repeats it. Copies are exploded and then shuffled globally
-by a hash of (seed, doc_id, copy), which also spreads a hot source evenly.
+by a hash of (seed, doc_id, copy, place in the table), which spreads a hot source and a hot doc_id evenly.
 
 Null source: a source of its own. Null or empty text: adds no size, and is drawn like any other row; a source with no
-characters at all has rate 0. Repeated rows draw the same number of copies. Any rate is drawn exactly by the query and the
-pipeline; mix() itself refuses rates over most_rate by an error unless that is None. n_copies is an int, so a document
-can't have 2^31 copies or more.
+characters at all has rate 0. Repeated rows, and all rows without a doc_id, draw the same number of copies. Any rate is
+drawn exactly. n_copies is an int, so a document can't have 2^31 copies or more. Texts are not read beyond their length,
+whatever that is. An empty table gives no rows. Other columns pass through, but for a copy_no or n_copies of the input,
+which the result's replace.
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, table
+from .common import fresh, materialise, partitions, table
 
 SEED = 17
 #: Weights are sizes to this power (temperature sampling) unless given.
 TEMPERATURE = 0.5
 #: Characters of the mixture, as a multiple of the input.
 BUDGET = 1.0
-#: mix() refuses higher rates unless told otherwise.
-MOST_RATE = 500
 #: Up to this rate probabilities are summed from 0 on; exp(-rate) vanishes at about 745.
 FROM_ZERO = 500
 #: Copies that one array lists.
@@ -39,8 +38,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float = BUD
     if weights is None:
         size = size.withColumn("weight", F.pow("chars", F.lit(TEMPERATURE)))
     else:
-        w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
-        size = size.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
+        w = weights.select(F.col("source").alias("of"), F.col("weight").cast("double").alias("weight"))
+        size = size.join(w, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").fillna(0.0, ["weight"])
     size = materialise(size, "source-sizes")
     # two sums come to the driver, whatever the input's size
     all_chars, all_weight = size.agg(F.sum("chars"), F.sum("weight")).first()
@@ -72,8 +71,8 @@ def _far_inverse(u: Column, rate: Column) -> Column:
     return F.transform(F.array(bound), lambda b: F.aggregate(terms, start, lambda s, i: F.when(b >= s["c"], add(s, i)).otherwise(s), lambda s: s["n"]))[0].cast("int")
 
 
-def poisson_inverse(u: Column, rate: Column, most_rate: float | None = MOST_RATE) -> Column:
-    """Least n with u < P(X <= n), X Poisson with this mean; an error over most_rate if given."""
+def poisson_inverse(u: Column, rate: Column) -> Column:
+    """Least n with u < P(X <= n), X Poisson with this mean."""
     last = F.ceil(rate + 10 * F.sqrt(rate) + 40).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
 
@@ -82,26 +81,27 @@ def poisson_inverse(u: Column, rate: Column, most_rate: float | None = MOST_RATE
         return F.when(u >= s["c"], F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.alias("n"))).otherwise(s)
 
     found = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])
-    drawn = F.when(rate <= FROM_ZERO, found).otherwise(_far_inverse(u, rate))
-    return drawn if most_rate is None else F.when(rate > most_rate, F.raise_error(F.lit(f"repetition rate over {most_rate}")).cast("int")).otherwise(drawn)
+    return F.when(rate <= FROM_ZERO, found).otherwise(_far_inverse(u, rate))
 
 
-def mix(docs: DataFrame, rate_table: DataFrame, seed: int = SEED, most_rate: float | None = MOST_RATE) -> DataFrame:
+def mix(docs: DataFrame, rate_table: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with copy_no (from 1) and n_copies, a row for each copy, in globally shuffled order."""
-    r = rate_table.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
+    docs = docs.drop("copy_no", "n_copies")
+    of, rate, part, place = (fresh(docs, c) for c in ("_of", "_rate", "_part", "_place"))
+    r = rate_table.select(F.col("source").alias(of), F.col("rate").alias(rate))
     if rate_table.count() <= MOST_BROADCAST:
         r = F.broadcast(r)  # the join then moves no text, and a hot source stays where it is
-    drawn = docs.join(r, F.col("source").eqNullSafe(F.col("_s"))).withColumn("n_copies", poisson_inverse(uniform(seed, F.col("doc_id")), F.col("_rate"), most_rate)).drop("_s", "_rate")
-    parts = drawn.where("n_copies > 0").withColumn("_part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_copies - 1) div {COPIES} as int)"))))
-    until = F.least(F.col("n_copies"), (F.col("_part") + 1).cast("long") * COPIES).cast("int")
-    copies = parts.withColumn("copy_no", F.explode(F.sequence(F.col("_part") * COPIES + 1, until))).drop("_part")
-    place = F.xxhash64(F.lit(seed), "doc_id", "copy_no")
-    return copies.withColumn("_place", place).repartition(partitions(docs.sparkSession), "_place").sortWithinPartitions("_place", "doc_id").drop("_place")
+    drawn = docs.join(r, F.col("source").eqNullSafe(F.col(of))).withColumn("n_copies", poisson_inverse(uniform(seed, F.col("doc_id")), F.col(rate))).drop(of, rate)
+    parts = drawn.where("n_copies > 0").withColumn(part, F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_copies - 1) div {COPIES} as int)"))))
+    until = F.least(F.col("n_copies"), (F.col(part) + 1).cast("long") * COPIES).cast("int")
+    copies = parts.withColumn(place, F.monotonically_increasing_id()).withColumn("copy_no", F.explode(F.sequence(F.col(part) * COPIES + 1, until))).drop(part)
+    shuffled = copies.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", "copy_no", place)).repartition(partitions(docs.sparkSession), place)
+    return shuffled.sortWithinPartitions(place).select(*docs.columns, "copy_no", "n_copies")
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, rates(docs), most_rate=None).select("doc_id", "copy_no", "n_copies", "source", "text")
+    return mix(docs, rates(docs)).select("doc_id", "copy_no", "n_copies", "source", "text")
 
 
 SQL = f"""
@@ -109,7 +109,7 @@ WITH size AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS c
 total AS (SELECT sum(chars) AS all_chars, sum(sqrt(chars)) AS all_weight FROM size),
 rate AS (SELECT source, sqrt(chars) / all_weight * {BUDGET} * all_chars / chars AS rate FROM size, total WHERE chars > 0),
 cdf AS (SELECT source, n, sum(exp(-rate + n * ln(rate) - lgamma(n + 1))) OVER (PARTITION BY source ORDER BY n) AS c
-        FROM rate, (SELECT unnest(generate_series(0, 80)) AS n)),
+        FROM rate, (SELECT unnest(generate_series(0, (SELECT CAST(ceil(max(rate) + 10 * sqrt(max(rate)) + 40) AS BIGINT) FROM rate))) AS n)),
 drawn AS (SELECT d.doc_id, d.source, d.text,
                  CAST(('0x' || substr(md5('{SEED}:' || CAST(d.doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / {float(1 << 52)} AS u FROM documents d),
 picked AS (SELECT d.doc_id, d.source, d.text, CAST((SELECT count(*) FROM cdf WHERE cdf.source = d.source AND d.u >= cdf.c) AS INTEGER) AS n_copies FROM drawn d)
