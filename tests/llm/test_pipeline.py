@@ -3,7 +3,8 @@ import random
 
 import corpus_pipeline
 from symgraph.llm import langid, mixing
-from tests.llm.test_operators import join_brute, poisson_brute
+from tests.llm.test_jaccard_join import join_brute
+from tests.llm.test_mixing import poisson_brute
 
 
 def test_pipeline(spark, tmp_path):
@@ -22,7 +23,7 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, text, lang, f"s{i % 3}", len(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    model = langid.train(docs)
+    model = langid.train(docs).model()
     known = {i: t for i, t, *_ in rows if model.score([t])[0][0] >= 0}
     assert len(known) == 144
     stay = {i: t for i, t in known.items() if join_brute(known)[i][1] == i}
