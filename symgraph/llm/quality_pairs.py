@@ -2,11 +2,15 @@
 
 Each text becomes a short vector of character, word and line ratios. From labelled documents, pairs (preferred, other)
 are drawn; the weights minimise the logistic loss of the score difference of the two, as in a Bradley-Terry model with
-features. The threshold is the quantile of the labelled scores that leaves as many above it as are labelled 1; scores
-are mapped through a logistic curve so that the threshold lies at 0.7.
+features, on a bounded sample. The threshold is the exact quantile of the scores of all labelled documents that are not
+held out which leaves as many above it as are labelled 1; scores are mapped through a logistic curve so that the threshold
+lies at 0.7.
 
 Null text counts as empty and is scored like any text. With no labels, or labels of one kind only, every weight is 0 and
-each score is 0.5 or the share of label 1. Labels that repeat a doc_id count once each. Ties at the threshold pass.
+each score is 0.5 or the share of label 1. Equal labels of one doc_id count once, different ones once each; so do rows of
+the documents that repeat a doc_id in the sample, while the quantile counts all rows. Ties at the threshold pass. A null
+doc_id is scored, is not held out, and takes no label. A very long text is one block, some 60 bytes for each of its bytes in
+that task. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, materialise, raw, table
+from .common import blocks, held_out, materialise, raw, remove, table
 
 #: About so many labelled documents, by a hash of doc_id, and so many pairs of them train the model.
 TRAIN_DOCS = 20_000
 PAIRS = 40_000
+L2 = 1e-3
 CUT = 0.7
 _CLASS = np.zeros(256, np.uint8)
 for _name, _bytes in enumerate((b" \t\n\x0b\x0c\r", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"#*$%&|<>", b"!", b"|", b".,;:?'\"()-", bytes(range(128, 256)))):
@@ -85,14 +90,13 @@ def features(docs: DataFrame) -> DataFrame:
 class Ranker:
     """score = logistic(sharpness * (w . f - threshold) + logit(CUT))"""
 
-    def __init__(self, weights: np.ndarray, threshold: float, base: float | None):
+    def __init__(self, weights: np.ndarray, threshold: float = 0.0, base: float | None = None):
         self.weights, self.threshold, self.base = weights, threshold, base
 
     @classmethod
-    def fit(cls, f: np.ndarray, label: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3, seed: int = 3) -> Ranker:
+    def fit(cls, f: np.ndarray, label: np.ndarray, pairs: int = PAIRS, l2: float = L2, seed: int = 3) -> Ranker:
+        """From features (documents x FEATURES) and labels, both 0 and 1 among them."""
         good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-        if not len(good) or not len(bad):
-            return cls(np.zeros(len(FEATURES)), 0.0, (len(good) / len(label)) if len(label) else 0.5)
         scale = np.maximum(f.std(0), 1e-6)
         rng = np.random.default_rng(seed)
         x = (f[rng.choice(good, pairs)] - f[rng.choice(bad, pairs)]) / scale
@@ -103,25 +107,52 @@ class Ranker:
             w += step / max(1.0, np.abs(step).max() / 3)
             if np.abs(step).max() < 1e-6:
                 break
-        w = w / scale
-        return cls(w, float(np.quantile(f @ w, len(bad) / len(label))), None)
+        return cls(w / scale)
+
+    def raw(self, f: F.Column) -> F.Column:
+        return F.aggregate(F.zip_with(f, F.array(*(F.lit(float(w)) for w in self.weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
     def score(self, f: F.Column) -> F.Column:
         if self.base is not None:
             return F.lit(float(self.base))
-        total = F.aggregate(F.zip_with(f, F.array(*(F.lit(float(w)) for w in self.weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return 1 / (1 + F.exp(-(total - self.threshold + float(np.log(CUT / (1 - CUT))))))
+        # at the threshold exactly CUT, whatever the last bit of the curve
+        return F.when(self.raw(f) == self.threshold, CUT).otherwise(1 / (1 + F.exp(-(self.raw(f) - self.threshold + float(np.log(CUT / (1 - CUT)))))))
+
+
+def order_statistic(rows: DataFrame, column: str, place: int, few: int = 4096) -> float:
+    """The place-th smallest value (from 0) of a double column, exactly: histograms of few buckets, finer each time."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    x = F.col(column)
+    while low < high:
+        width = (high - low) / few
+        at = F.least(F.floor((x - low) / width), F.lit(few - 1)) if width > 0 else F.when(x > low, 1).otherwise(0)
+        found = rows.where(x.between(low, high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).orderBy("at").collect()
+        for r in found:  # few rows
+            if place < r.n:
+                low, high = r.a, r.b
+                break
+            place -= r.n
+    return float(low)
 
 
 def train(vectors: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, seed: int = 5) -> Ranker:
     """Of features() and labels (doc_id, quality); held-out documents are left out."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
+    rows = materialise(vectors.join(known, "doc_id"), "quality-labelled")
+    n, good = rows.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    if good in (0, n):
+        return Ranker(np.zeros(len(FEATURES)), base=good / n if n else 0.5)
     share = max_docs / max(1, known.count())
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = vectors.join(known, "doc_id").orderBy("doc_id").toPandas()
-    f = np.stack([np.asarray(x, float) for x in got.f]) if len(got) else np.zeros((0, len(FEATURES)))
-    return Ranker.fit(f, got.quality.to_numpy())
+    chosen = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # about max_docs rows come to the driver: one for each label
+    got = chosen.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).orderBy("doc_id", "quality").toPandas()
+    if got.quality.nunique() < 2:
+        return Ranker(np.zeros(len(FEATURES)), base=good / n)
+    ranker = Ranker.fit(np.stack([np.asarray(x, float) for x in got.f]), got.quality.to_numpy())
+    scores = materialise(rows.select(ranker.raw(F.col("f")).alias("raw")), "quality-raw")
+    ranker.threshold = (order_statistic(scores, "raw", n - good - 1) + order_statistic(scores, "raw", n - good)) / 2
+    remove(scores, rows)
+    return ranker
 
 
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
