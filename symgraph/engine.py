@@ -23,11 +23,19 @@ class Engine:
         self.store.upsert(index.extract(workspace.scan(self.spark, tree, excluded), self.registry.all()))
 
     def update(self, tree: str, excluded: list[str] = ()) -> None:
-        """Re-extracts what a tree changed by hash, and drops what it lost."""
-        now = workspace.scan(self.spark, tree, excluded)
-        state = workspace.changes_since(self.store.read("files"), now)
-        added = now.join(state.where("state = 'added'"), "uri", "left_semi")
-        self.store.upsert(index.extract(added, self.registry.all()), state.where("state = 'deleted'"))
+        """Re-extracts what a tree changed, and drops what it lost. Only files with another mtime are read, and of these
+        only those with another hash are extracted."""
+        now, stored = workspace.listing(self.spark, tree, excluded), self.store.read("files")
+        gone = stored.select("uri").join(now.select("uri"), "uri", "left_anti")
+        # paths come to the driver, which lists the tree anyway
+        paths = [r.path for r in workspace.needs_reindexing(now, stored).select("path").collect()]
+        read = workspace.contents(self.spark, paths)
+        state = workspace.changes_since(stored.join(read.select("uri"), "uri", "left_semi"), read)
+        changed = read.join(state.where("state = 'added'"), "uri", "left_semi")
+        same = [tuple(r) for r in read.join(state.where("state = 'added'"), "uri", "left_anti").select("uri", "mtime", "size").collect()]
+        self.store.upsert(index.extract(changed, self.registry.all()), gone)
+        if same:
+            self.store.touch(self.spark.createDataFrame(same, "uri string, mtime double, size long"))
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)

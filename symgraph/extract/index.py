@@ -18,18 +18,24 @@ TABLES = {"symbols": schema.SYMBOLS, "refs": schema.REFS, "pending": schema.PEND
 
 
 def _nested() -> str:
-    return "uri string, hash string, skip_reason string, " + ", ".join(f"{n} array<{schema.struct(d).simpleString()}>" for n, d in TABLES.items())
+    return "uri string, hash string, mtime double, size long, skip_reason string, " + ", ".join(f"{n} array<{schema.struct(d).simpleString()}>" for n, d in TABLES.items())
 
 
 def read_file(uri: str, text: str | None, plugins=(), fast_chars: int = fast.FAST_CHARS) -> dict:
-    """Routes a file by extension; an unknown one or unreadable content gives a skip reason and no rows."""
+    """Routes a file by extension; an unknown one or unreadable content gives a skip reason and no rows.
+
+    A TypeScript file of more than fast_chars characters is read by patterns: it has symbols, and a skip reason that says
+    that its references and imports are left out.
+    """
     ext = os.path.splitext(uri)[1].lower()
     empty = {n: [] for n in TABLES}
     if text is None:
         return {"uri": uri, "hash": None, "skip_reason": "read error"} | empty
     base = {"uri": uri, "hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), "skip_reason": None} | empty
     if ext in TS:
-        return base | {"symbols": fast.fast_symbols(uri, text)} if len(text) > fast_chars else typescript.extract(uri, text, plugins)
+        if len(text) > fast_chars:
+            return base | {"symbols": fast.fast_symbols(uri, text), "skip_reason": f"over {fast_chars} characters: symbols only"}
+        return typescript.extract(uri, text, plugins)
     if ext in WORDS:
         return base | {"symbols": fast.word_symbols(uri, text)}
     if ext in fast.EXTENSIONS:
@@ -38,18 +44,22 @@ def read_file(uri: str, text: str | None, plugins=(), fast_chars: int = fast.FAS
 
 
 def extract(files: DataFrame, plugins=()) -> DataFrame:
-    """One nested row for each file: hash, skip reason and the row lists of TABLES."""
+    """One nested row for each file (uri, content, and hash, mtime, size if there are): hash, skip reason, lists of TABLES."""
     fields = {n: schema.struct(d).names for n, d in TABLES.items()}
+    kinds = {"hash": "string", "mtime": "double", "size": "long"}
 
     def run(batches):
         for pdf in batches:
             rows = [read_file(u, None if pd.isna(t) else t, plugins) for u, t in zip(pdf["uri"], pdf["content"], strict=True)]
-            for r in rows:
+            for r, h, m, s in zip(rows, pdf["hash"], pdf["mtime"], pdf["size"], strict=True):
+                # the hash of the file's bytes, if the source has one, else that of its text
+                r |= {"hash": r["hash"] if pd.isna(h) else h, "mtime": None if pd.isna(m) else m, "size": None if pd.isna(s) else int(s)}
                 for n, names in fields.items():
                     r[n] = [{c: x.get(c) for c in names} for x in r[n]]
-            yield pd.DataFrame(rows, columns=["uri", "hash", "skip_reason", *TABLES])
+            yield pd.DataFrame(rows, columns=["uri", "hash", "mtime", "size", "skip_reason", *TABLES])
 
-    return files.select("uri", "content").mapInPandas(run, _nested())
+    asked = [F.col(c).cast(k) if c in files.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    return files.select("uri", "content", *asked).mapInPandas(run, _nested())
 
 
 def flatten(nested: DataFrame, table: str) -> DataFrame:
@@ -57,4 +67,5 @@ def flatten(nested: DataFrame, table: str) -> DataFrame:
 
 
 def files_table(nested: DataFrame) -> DataFrame:
-    return nested.select("uri", "hash", "skip_reason", F.size("symbols").alias("n_symbols"))
+    now = F.unix_millis(F.current_timestamp()).alias("last_indexed_at")
+    return nested.select("uri", "hash", "mtime", "size", now, "skip_reason", F.size("symbols").alias("n_symbols"))

@@ -11,7 +11,7 @@ from .scalars import matches_any
 
 # Lists that decide what is indexed and what counts as used by a framework.
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", ".json", ".md", ".txt", ".yml", ".yaml", ".java", ".go", ".cs", ".py", ".rs", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp"]
-EXCLUDED_PARTS = ["vscode-userdata:", "github.copilot-chat", "commandEmbeddings.json", ".vscode/extensions", ".vscode-test", "User/globalStorage", "User/workspaceStorage", "/.angular/", "/.nx/", "/dist/", "/coverage/", "/node_modules/", "/.smart-index/"]
+EXCLUDED_PARTS = ["vscode-userdata:", "github.copilot-chat", "commandEmbeddings.json", ".vscode/extensions", ".vscode-test", "User/globalStorage", "User/workspaceStorage", "/.angular/", "/.nx/", "/dist/", "/coverage/", "/node_modules/"]
 UNANALYSED_PARTS = ["node_modules", "dist/", "out/", "build/", ".angular/", ".nx/"]
 TEST_PARTS = [".test.", ".spec.", "/test/", "/tests/", "/__tests__/"]
 ENTRY_POINTS = ["**/main.ts", "**/public-api.ts", "**/index.ts", "**/*.stories.ts", "**/*.spec.ts", "**/*.test.ts", "**/test/**", "**/tests/**"]
@@ -32,7 +32,7 @@ def contains_any(c: Column, parts: list[str]) -> Column:
 
 
 def indexable(uri: Column, size: Column, excluded: list[str] = (), limit: int = MAX_FILE_BYTES) -> Column:
-    """Known extension, not excluded by a fixed part or a user glob, and not too large."""
+    """Known extension, not excluded by a fixed part or a user glob (name a store's own folder there), and not too large."""
     u = F.regexp_replace(uri, r"\\", "/")
     known = F.lower(F.regexp_extract(u, r"\.[^./]+$", 0)).isin(EXTENSIONS)
     return known & ~contains_any(u, EXCLUDED_PARTS) & ~matches_any(u, list(excluded)) & (size <= limit)

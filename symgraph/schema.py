@@ -14,7 +14,7 @@ REFS = "uri string, symbol_name string, line int, character int, " + RANGE + ",
 PENDING = "uri string, container string, member string, line int, character int, container_name string"
 IMPORTS = "uri string, ordinal int, local_name string, module_specifier string, is_default boolean, is_namespace boolean, exported_name string, is_dynamic boolean, is_cjs boolean"
 REEXPORTS = "uri string, ordinal int, module_specifier string, is_all boolean, exported_names array<string>"
-FILES = "uri string, hash string, mtime double, size long, last_indexed_at long, skip_reason string"
+FILES = "uri string, hash string, mtime double, size long, last_indexed_at long, skip_reason string, n_symbols int"
 
 
 def struct(ddl: str) -> T.StructType:

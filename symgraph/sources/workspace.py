@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -10,20 +12,44 @@ from ..functions import scalars as S
 from ..streaming.incremental import changes
 
 
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _uri() -> Column:
+    return S.normal_uri(F.regexp_replace("path", "^file:(//)?(?=/)", ""))
+
+
+def _content() -> Column:
+    """Text of a file; null if it isn't UTF-8, which extraction turns into a skip reason."""
+    return F.try_validate_utf8(F.col("content").cast("string"))
+
+
+def listing(spark: SparkSession, root: str, excluded: list[str] = (), max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
+    """Indexable files under root: (uri, path, size, mtime). No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    kept = files.where(F.col("length") <= max_bytes).where(P.indexable(_uri(), F.col("length"), list(excluded), max_bytes))
+    return kept.select(_uri().alias("uri"), "path", F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime"))
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files (uri, content, size, mtime, hash): content is null where it isn't UTF-8, hash is that of the bytes."""
+    if not paths:
+        return spark.createDataFrame([], "uri string, content string, size long, mtime double, hash string")
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
+    return files.select(_uri().alias("uri"), _content().alias("content"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime"), F.sha2("content", 256).alias("hash"))
+
+
 def scan(spark: SparkSession, root: str, excluded: list[str] = (), max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
-    """Indexable files under root: (uri, content, size, mtime, hash). Files too large are dropped before they are read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    uri = S.normal_uri(F.regexp_replace("path", "^file:(//)?(?=/)", ""))
-    kept = listing.where(F.col("length") <= max_bytes).where(P.indexable(uri, F.col("length"), list(excluded), max_bytes))
-    return kept.select(uri.alias("uri"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), (F.unix_millis("modificationTime")).cast("double").alias("mtime"), F.sha2("content", 256).alias("hash"))
+    """Indexable files under root as contents() has them. Files over max_bytes are dropped before they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    kept = files.where(F.col("length") <= max_bytes).where(P.indexable(_uri(), F.col("length"), list(excluded), max_bytes))
+    return kept.select(_uri().alias("uri"), _content().alias("content"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime"), F.sha2("content", 256).alias("hash"))
 
 
 def scan_stream(spark: SparkSession, root: str) -> DataFrame:
     """The same as a stream of change events, one for each new file."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
-    uri = S.normal_uri(F.regexp_replace("path", "^file:(//)?(?=/)", ""))
-    return rows.where(P.indexable(uri, F.col("length"))).select(uri.alias("uri"), F.lit("change").alias("event_type"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("ts"))
+    rows = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", "true").load(root)
+    return rows.where(P.indexable(_uri(), F.col("length"))).select(_uri().alias("uri"), F.lit("change").alias("event_type"), _content().alias("content"), F.col("modificationTime").alias("ts"))
 
 
 def static_index(spark: SparkSession, path: str) -> DataFrame:
