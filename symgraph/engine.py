@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extract import index, plugins
-from .operators import graph, liveness, resolve, search
+from .operators import cursor, graph, liveness, resolve, search
 from .sources import workspace
 from .store import Store
 
@@ -58,7 +58,8 @@ class Engine:
         return found.where("resolved_uri is not null").select("uri", F.col("resolved_uri").alias("target"), "is_all", "exported_names")
 
     def definitions(self, cursors: DataFrame) -> DataFrame:
-        """cursors (cursor_id, cursor_uri, cursor_line, cursor_character, name): the definition of each.
+        """cursors (cursor_id, cursor_uri, cursor_line, cursor_character, name): the definition of each; none of a keyword
+        that nothing imports.
 
         An imported name is resolved to its file and through re-exports; any other by the rules over all candidates of
         its name. The first stage that answers a cursor wins.
@@ -69,7 +70,7 @@ class Engine:
         requests = bound.select(F.col("cursor_id").alias("request_id"), F.col("resolved_uri").alias("uri"), F.col("_x").alias("name"))
         chased = resolve.chase_reexports(requests, self.reexport_edges(), symbols.where("is_definition"))
         by_import = chased.select(F.col("request_id").alias("cursor_id"), "uri", "name", "ordinal", F.lit(0).alias("stage"))
-        by_name = search.definitions_at(cursors, symbols).select("cursor_id", "uri", "name", "ordinal", F.lit(1).alias("stage"))
+        by_name = cursor.by_word(cursors, symbols).select("cursor_id", "uri", "name", "ordinal", F.lit(1).alias("stage"))
         return search.first_by(by_import.unionByName(by_name), ["cursor_id"], "stage")
 
     def references(self, name: str) -> DataFrame:
@@ -96,9 +97,36 @@ class Engine:
         return graph.impacted_files(edges, uri, max_depth)
 
     def dead_code(self, **options) -> DataFrame:
-        alive = self.table("symbols").where(self.registry.is_entry_point()).select("uri", "name").distinct()
+        """Unused exports, without entry points of plugins and what a public marker stands above."""
+        alive = self.table("symbols").where(self.registry.is_entry_point() | F.coalesce("is_public", F.lit(False))).select("uri", "name").distinct()
         return liveness.dead_code(self.table("symbols"), self.table("refs"), **options).join(alive, ["uri", "name"], "left_anti")
 
+    def unused_messages(self, **options) -> DataFrame:
+        return cursor.messages(self.dead_code(**options))
+
+    def symbol_at(self, cursors: DataFrame) -> DataFrame:
+        """cursors (cursor_id, cursor_uri, cursor_line, cursor_character) with the name, kind and range at each."""
+        return cursor.symbol_at(cursors, self.table("symbols"), self.table("refs"))
+
+    def definitions_at(self, cursors: DataFrame) -> DataFrame:
+        """definitions() of what stands at each cursor."""
+        names = self.symbol_at(cursors).select("cursor_id", "name")
+        return self.definitions(cursors.join(names, "cursor_id"))
+
+    def hover(self, cursors: DataFrame) -> DataFrame:
+        """cursor_id and the text to show there."""
+        marks = F.from_json(F.get_json_object("metadata", "$.angular.decorators"), "array<string>")
+        lines = cursor.framework_lines(F.col("ngrx.role"), F.col("ngrx.type"), F.col("ngrx.is_group"), marks)
+        return cursor.hovers(cursors, self.table("symbols"), self.table("refs")).select("cursor_id", "uri", "name", cursor.hover_text(lines).alias("text"))
+
+    def prepare_rename(self, cursors: DataFrame) -> DataFrame:
+        return cursor.prepare_rename(cursors, self.table("symbols"), self.table("refs"))
+
+    def stats(self) -> DataFrame:
+        """Files, symbols and references of the index, and when it was last written."""
+        files = self.table("files").agg(F.count("*").alias("n_files"), F.count("skip_reason").alias("n_skipped"), F.sum("n_symbols").alias("n_symbols"), F.max("last_indexed_at").alias("last_indexed_at"))
+        return files.crossJoin(F.broadcast(self.table("refs").agg(F.count("*").alias("n_refs"))))
+
     def resolve_links(self) -> DataFrame:
         groups = self.table("symbols").where("ngrx.is_group and ngrx.events is not null").select("name", "ordinal", F.col("ngrx.events").alias("events"))
         return resolve.resolve_links(self.table("pending"), groups)

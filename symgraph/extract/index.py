@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os.path
+import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ def read_file(uri: str, text: str | None, plugins=(), fast_chars: int = fast.FAS
     if ext in TS:
         if len(text) > fast_chars:
             return base | {"symbols": fast.fast_symbols(uri, text), "skip_reason": f"over {fast_chars} characters: symbols only"}
-        return typescript.extract(uri, text, plugins)
+        return _marked(typescript.extract(uri, text, plugins), text)
     if ext in WORDS:
         return base | {"symbols": fast.word_symbols(uri, text)}
     if ext in fast.EXTENSIONS:
@@ -43,6 +45,14 @@ def read_file(uri: str, text: str | None, plugins=(), fast_chars: int = fast.FAS
     return base | {"skip_reason": "Unsupported file extension"}
 
 
+def _marked(found: dict, text: str) -> dict:
+    """found with is_public of its symbols: a public marker stands in the ten lines above."""
+    marks = [i for i, line in enumerate(text.split("\n")) if re.search("@public|@api|@export", line)]
+    for s in found["symbols"]:
+        s["is_public"] = bisect_left(marks, s["line"]) > bisect_left(marks, s["line"] - 10)
+    return found
+
+
 def extract(files: DataFrame, plugins=()) -> DataFrame:
     """One nested row for each file (uri, content, and hash, mtime, size if there are): hash, skip reason, lists of TABLES."""
     fields = {n: schema.struct(d).names for n, d in TABLES.items()}

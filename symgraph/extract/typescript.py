@@ -19,7 +19,7 @@ TOKEN = re.compile(
 )
 REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 MODIFIERS = {"export", "default", "declare", "abstract", "async", "public", "private", "protected", "static", "readonly", "override", "get", "set", "accessor"}
-RESERVED = set("break case catch class const continue debugger default delete do else enum export extends false finally for function if implements import in instanceof interface let new null of package private protected public return static super switch this throw true try typeof var void while with yield async await as is keyof readonly abstract declare type namespace module any unknown never string number boolean object undefined symbol bigint from get set satisfies infer asserts constructor require".split())
+RESERVED = {"break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "enum", "export", "extends", "false", "finally", "for", "function", "if", "implements", "import", "in", "instanceof", "interface", "let", "new", "null", "of", "package", "private", "protected", "public", "return", "static", "super", "switch", "this", "throw", "true", "try", "typeof", "var", "void", "while", "with", "yield", "async", "await", "as", "is", "keyof", "readonly", "abstract", "declare", "type", "namespace", "module", "any", "unknown", "never", "string", "number", "boolean", "object", "undefined", "symbol", "bigint", "from", "get", "set", "satisfies", "infer", "asserts", "constructor", "require"}
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -507,7 +507,7 @@ class Extractor:
             self.symbol(name, "property", k, k, self.pair[k + 2] if nested else k, c)
             self.seen.add(self.tokens[k][2])
             if nested:
-                self.keys(k + 2, Context(".".join((c.container or "", name)).strip("."), "property", (*c.path, name), c.scope))
+                self.keys(k + 2, Context(name, "property", (*c.path, name), c.scope))
 
     def entries(self, i: int):
         k, fresh = i + 1, True

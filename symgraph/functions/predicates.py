@@ -20,8 +20,8 @@ LIFECYCLE = ["ngOnInit", "ngOnChanges", "ngDoCheck", "ngAfterContentInit", "ngAf
 CLASS_DECORATORS = ["Component", "Directive", "Injectable", "NgModule", "Pipe"]
 MEMBER_DECORATORS = ["Input", "Output", "ViewChild", "ViewChildren", "ContentChild", "ContentChildren", "HostBinding", "HostListener"]
 IMPORT_KINDS = ["import", "ImportSpecifier", "ImportDeclaration", "ImportClause", "ImportDefaultSpecifier", "ImportNamespaceSpecifier", "NamedImports", "NamespaceImport"]
-KEYWORDS = "path fs file const let var import export function class interface type enum namespace public private protected static readonly async await return if else for while switch case break continue try catch finally throw new this super extends implements constructor get set true false null undefined void any unknown string number boolean object array map promise error console log debug info warn".split()
-ACTION_VERBS = "load save update delete create remove add set clear reset fetch submit navigate select deselect toggle open close".split()
+KEYWORDS = ["path", "fs", "file", "const", "let", "var", "import", "export", "function", "class", "interface", "type", "enum", "namespace", "public", "private", "protected", "static", "readonly", "async", "await", "return", "if", "else", "for", "while", "switch", "case", "break", "continue", "try", "catch", "finally", "throw", "new", "this", "super", "extends", "implements", "constructor", "get", "set", "true", "false", "null", "undefined", "void", "any", "unknown", "string", "number", "boolean", "object", "array", "map", "promise", "error", "console", "log", "debug", "info", "warn"]
+ACTION_VERBS = ["load", "save", "update", "delete", "create", "remove", "add", "set", "clear", "reset", "fetch", "submit", "navigate", "select", "deselect", "toggle", "open", "close"]
 STORE_PACKAGES = ["@ngrx/store", "@ngrx/effects", "@ngrx/entity", "@ngrx/router-store", "@ngrx/component-store"]
 STORE_CALLS = ["createAction", "createEffect", "on(", "on (", "ofType(", "ofType (", ".dispatch("]
 MAX_FILE_BYTES = 50 << 20

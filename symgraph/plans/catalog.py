@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..extract import words
 from ..functions import predicates as P
 from ..functions import scalars as S
-from ..operators import graph, liveness, resolve, search, stats
+from ..operators import cursor, graph, liveness, resolve, search, stats
 from ..sources.testtables import VIEWS, Index
+from . import extraction
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -528,7 +529,7 @@ def page_links(x: Index) -> DataFrame:
     return x.table("pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.size(F.array_distinct(links)).cast("long").alias("n_distinct"))
 
 
-@query()
+@query("SELECT 'class' AS kind, count(*) AS n, count(DISTINCT ordinal) AS n_names FROM symbols UNION ALL SELECT 'method' AS kind, count(*) AS n, 1 AS n_names FROM symbols")
 def source_extraction(x: Index) -> DataFrame:
     """Source files written from the symbol table, read back by the extractor: counts of what it finds by kind."""
     from ..extract import index
@@ -538,3 +539,61 @@ def source_extraction(x: Index) -> DataFrame:
     files = x.symbols.groupBy("uri").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("content"))
     found = index.flatten(index.extract(files), "symbols")
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
+
+
+# --- at cursors
+
+_CURSORS = "cursors AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS cursor_id, {file} AS cursor_uri, CAST(l_suppkey % 97 AS INT) AS cursor_line, CAST(l_quantity AS INT) AS cursor_character FROM lineitem)"
+_AT = (
+    _CURSORS.format(file="concat('/ws/src/mod', CAST(l_orderkey % 40 AS VARCHAR), '/file', CAST(l_orderkey % 90 AS VARCHAR), '.ts')")
+    + """, marks AS (SELECT uri, line, character, CAST(character + length(name) AS INT) AS end_character, name, kind, 0 AS stage FROM symbols
+UNION ALL SELECT uri, line, character, CAST(character + length(symbol_name) AS INT), symbol_name, 'variable', 1 FROM refs),
+met AS (SELECT c.cursor_id, m.*, row_number() OVER (PARTITION BY cursor_id ORDER BY stage, m.character, name, kind) AS k FROM cursors c JOIN marks m ON m.uri = c.cursor_uri AND m.line = c.cursor_line AND c.cursor_character BETWEEN m.character AND m.end_character),
+found AS (SELECT * FROM met WHERE k = 1)"""
+)
+
+
+def _cursors(x: Index) -> DataFrame:
+    key = F.col("l_orderkey")
+    uri = F.concat(F.lit("/ws/src/mod"), (key % 40).cast("string"), F.lit("/file"), (key % 90).cast("string"), F.lit(".ts"))
+    return x.table("lineitem").select((key * 10 + F.col("l_linenumber")).cast("long").alias("cursor_id"), uri.alias("cursor_uri"), (F.col("l_suppkey") % 97).cast("int").alias("cursor_line"), F.col("l_quantity").cast("int").alias("cursor_character"))
+
+
+@query(f", {_AT} SELECT cursor_id, uri, line, character, end_character, name, kind FROM found")
+def symbol_at_cursor(x: Index) -> DataFrame:
+    """The declared name or reference at every cursor."""
+    return cursor.symbol_at(_cursors(x), x.symbols, x.refs).select("cursor_id", "uri", "line", "character", "end_character", "name", "kind")
+
+
+@query(f", {_AT}, known AS (SELECT name, uri AS first_uri FROM (SELECT name, uri, row_number() OVER (PARTITION BY name ORDER BY uri, ordinal) AS n FROM symbols WHERE is_definition) WHERE n = 1) SELECT c.cursor_id AS cursor_id, f.line AS line, f.character AS character, f.end_character AS end_character, f.name AS name, CASE WHEN f.name IS NULL THEN '{cursor.NO_SYMBOL}' WHEN first_uri IS NULL THEN '{cursor.NOT_INDEXED}' WHEN contains(first_uri, 'node_modules') THEN '{cursor.EXTERNAL}' END AS error FROM cursors c LEFT JOIN found f ON f.cursor_id = c.cursor_id LEFT JOIN known k ON k.name = f.name")
+def rename_targets(x: Index) -> DataFrame:
+    """Whether the symbol at every cursor can be renamed, and its range."""
+    return cursor.prepare_rename(_cursors(x), x.symbols, x.refs)
+
+
+@query("SELECT uri, ordinal, concat('```typescript', chr(10), '(', kind, ') ', CASE WHEN coalesce(container_name, '') <> '' THEN concat(container_name, '.') ELSE '' END, name, CASE WHEN is_static THEN ' [static]' ELSE '' END, CASE WHEN kind NOT IN ('function', 'method') OR parameters_count IS NULL THEN '' WHEN parameters_count > 0 THEN ' (...)' ELSE ' ()' END, chr(10), '```', chr(10), chr(10), CASE WHEN kind = 'class' THEN concat('**Angular Component**', chr(10), chr(10)) WHEN kind = 'constant' THEN concat('**NgRx Action:** `', name, '`', chr(10), chr(10), '**NgRx Action Group**', chr(10), chr(10)) ELSE '' END, '*Defined in:* `', list_extract(string_split(uri, '/'), -1), ':', CAST(line + 1 AS VARCHAR), ':', CAST(character + 1 AS VARCHAR), '`') AS text FROM symbols")
+def hover_texts(x: Index) -> DataFrame:
+    """The hover text of every symbol; classes count as components, constants as action groups."""
+    group, kind = F.col("kind") == "constant", F.when(F.col("kind") == "class", F.array(F.lit("Component")))
+    lines = cursor.framework_lines(F.when(group, "action"), F.when(group, F.col("name")), group, kind)
+    return x.symbols.select("uri", "ordinal", cursor.hover_text(lines).alias("text"))
+
+
+@query(f", {_DEAD} SELECT c.uri AS uri, c.ordinal AS ordinal, concat('Unused export: ', upper(substr(s.kind, 1, 1)), substr(s.kind, 2), ' ', chr(39), c.name, chr(39), ' is declared but never used in the workspace', CASE WHEN confidence = 'high' THEN '' ELSE concat(' (', confidence, ' confidence)') END) AS message FROM conf c JOIN symbols s ON s.uri = c.uri AND s.ordinal = c.ordinal")
+def unused_messages(x: Index) -> DataFrame:
+    """The message for every unused export."""
+    return cursor.messages(_dead(x)).select("uri", "ordinal", "message")
+
+
+_WORDS = ["Path", "const", "MAP", "maps", "newer", "new", "logger", "Info"]
+
+
+@query("SELECT word, NOT lower(word) IN (" + ", ".join(f"'{k}'" for k in P.KEYWORDS) + f") AS is_searched FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT unnest({_WORDS}) AS word) t", views=False)
+def words_searched(x: Index) -> DataFrame:
+    """Which words the fallback of a definition looks up: all but keywords."""
+    words = x.table("part").select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(x.spark.createDataFrame([(w,) for w in _WORDS], "word string")).distinct()
+    return words.select("word", (~F.lower("word").isin(P.KEYWORDS)).alias("is_searched"))
+
+
+for _query, _sql_text in extraction.QUERIES.items():
+    query(_sql_text, views=False)(_query)

@@ -8,7 +8,7 @@ RANGE = "start_line int, start_character int, end_line int, end_character int"
 SYMBOLS = (
     "uri string, ordinal int, id string, name string, kind string, line int, character int, " + RANGE + ", container_name string, container_kind string, full_container_path string, "
     "is_static boolean, is_definition boolean, is_exported boolean, parameters_count int, visibility string, implements array<string>, extends string, "
-    "ngrx struct<type string, role string, is_group boolean, events map<string, string>>, metadata string"
+    "ngrx struct<type string, role string, is_group boolean, events map<string, string>>, metadata string, is_public boolean"
 )
 REFS = "uri string, symbol_name string, line int, character int, " + RANGE + ", container_name string, is_import boolean, scope_id string, is_local boolean"
 PENDING = "uri string, container string, member string, line int, character int, container_name string"

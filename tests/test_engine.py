@@ -71,6 +71,28 @@ def test_queries(engine):
     assert [e.line for e in edits[u("src/circle.ts")]] == [2, 1] and all(e.text == "Disc" for e in edits[u("src/circle.ts")])
 
 
+def test_cursors(engine, spark):
+    u = lambda f: f"{engine.root}/{f}"
+    at = [(1, u("src/app.ts"), 1, 17), (2, u("src/circle.ts"), 1, 15), (3, u("src/app.ts"), 1, 7), (4, u("src/app.ts"), 50, 0), (5, u("src/actions.ts"), 0, 15)]
+    cursors = spark.createDataFrame(at, "cursor_id int, cursor_uri string, cursor_line int, cursor_character int")
+    assert {r.cursor_id: (r.name, r.kind) for r in engine.symbol_at(cursors).collect()} == {1: ("Circle", "variable"), 2: ("Circle", "class"), 3: ("one", "constant"), 5: ("UsersActions", "constant")}
+    assert {r.cursor_id: r.uri for r in engine.definitions_at(cursors).collect() if r.cursor_id == 1} == {1: u("src/circle.ts")}
+    texts = {r.cursor_id: r.text for r in engine.hover(cursors).collect()}
+    assert texts[1] == "```typescript\n(class) Circle\n```\n\n*Defined in:* `circle.ts:2:14`" and "**NgRx Action Group**" in texts[5] and "**NgRx Action:** `U`" in texts[5]
+    errors = {r.cursor_id: (r.name, r.error) for r in engine.prepare_rename(cursors).collect()}
+    assert errors[1] == ("Circle", None) and errors[4] == (None, "No symbol found at this position")
+    assert {r.name: r.message for r in engine.unused_messages().collect()}["Ring"] == "Unused export: Class 'Ring' is declared but never used in the workspace"
+    row = engine.stats().first()
+    assert row.n_files == 8 and row.n_skipped == 1 and row.n_refs == engine.table("refs").count() and row.last_indexed_at > 0
+    keyword = spark.createDataFrame([(1, u("src/app.ts"), 1, 0, "const")], "cursor_id int, cursor_uri string, cursor_line int, cursor_character int, name string")
+    assert engine.definitions(keyword).count() == 0
+
+
+def test_public_markers():
+    marks = {s["name"]: s["is_public"] for s in read_file("/w/a.ts", "/** @public */\nexport class A {}\n" + "\n" * 9 + "export class B {}\n/** @api */ export class C {}\n")["symbols"]}
+    assert marks == {"A": True, "B": False, "C": False}
+
+
 def test_update(engine, spark):
     before = engine.store.version()
     (engine.root / "src/extra.ts").write_text("export class Extra {}\n")
