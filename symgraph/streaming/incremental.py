@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,9 +23,20 @@ def bursts(events: DataFrame, key: str, gap_seconds: int, tie: str) -> DataFrame
     return numbered.groupBy(key, "_b").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n")).drop("_b")
 
 
+def _last() -> Column:
+    """Order of a key's events: by time, at the same time a save after a change and an unlink after all."""
+    return F.struct("ts", F.when(F.col("event_type") == "unlink", 2).when(F.col("event_type") == "save", 1).otherwise(0))
+
+
 def debounced(stream: DataFrame, key: str = "uri", gap: str = "600 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """The same on a stream, by session windows; the watermark bounds the state. A save or unlink ends up in kinds."""
-    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.max_by("content", "ts").alias("content"), F.max_by("event_type", "ts").alias("event_type"), F.count("*").alias("n")).select(key, F.col("session_window.end").alias("ready_at"), "event_type", "content", "n")
+    """The same on a stream, by session windows; the watermark bounds the state. kinds has all event types of the burst.
+
+    A burst ends the gap after its last event, and at once after one that ends in a save, whose ready_at is its own time.
+    """
+    rows = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key)
+    found = rows.agg(F.max_by("content", _last()).alias("content"), F.max_by("event_type", _last()).alias("event_type"), F.sort_array(F.collect_set("event_type")).alias("kinds"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    ready = F.when(F.col("event_type") == "save", F.col("last_ts")).otherwise(F.col("session_window.end"))
+    return found.select(key, ready.alias("ready_at"), "event_type", "content", "kinds", "n")
 
 
 def changes(stored: DataFrame, now: DataFrame) -> DataFrame:
@@ -37,10 +48,10 @@ def changes(stored: DataFrame, now: DataFrame) -> DataFrame:
 
 def maintain(stream: DataFrame, store, extract, checkpoint: str, name: str = "index") -> StreamingQuery:
     """Upserts a stream of (uri, event_type, content, ts) into a store: per micro-batch the last event of a uri counts,
-    unlink deletes, everything else is extracted anew."""
+    unlink deletes, everything else is extracted anew. A batch that is run again after a failure has the same result."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        last = latest(batch, "uri", ["ts"])
+        last = latest(batch.withColumn("_at", _last()), "uri", ["_at"]).drop("_at")
         gone = last.where("event_type = 'unlink'").select("uri")
         rows = extract(last.where("event_type <> 'unlink'").select("uri", "content"))
         store.upsert(rows, gone)

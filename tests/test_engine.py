@@ -194,6 +194,17 @@ def test_stream_maintenance(spark, tmp_path):
     assert got == {("a", 1, "1"), ("b", 1, "x"), ("c", 1, "y")} | (got & {("a", 1, "2"), ("b", 1, None)})
 
 
+def test_ties_and_saves_in_a_burst(spark, tmp_path):
+    rows = [("a", "change", "1", 10), ("a", "unlink", None, 10), ("b", "change", "1", 10), ("b", "save", "2", 11), ("c", "change", "1", 10), ("c", "change", "2", 12), ("z", "change", "", 100)]
+    source = tmp_path / "in"
+    spark.createDataFrame(rows, "uri string, event_type string, content string, s long").select("uri", "event_type", "content", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema(spark.read.parquet(str(source)).schema).parquet(str(source))
+    q = incremental.debounced(stream, gap="3 seconds", late="1 second").writeStream.outputMode("append").format("memory").queryName("ties").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {r.uri: (r.event_type, r.content, r.kinds, r.n, r.ready_at.timestamp()) for r in spark.table("ties").selectExpr("uri", "event_type", "content", "kinds", "n", "ready_at").collect()}
+    assert got == {"a": ("unlink", None, ["change", "unlink"], 2, 13), "b": ("save", "2", ["change", "save"], 2, 11), "c": ("change", "2", ["change"], 2, 15)}
+
+
 def test_extractor_rules():
     src = "import d, { A as B } from './m';\nconst { x: y } = require('./c');\n@Component({})\nexport class K extends B implements Action {\n  readonly type = '[K] go';\n  @Input() p: string;\n  static make(a, b = d) { const z = 1; return z; }\n}\nconst o = { k: { v: 1 } };\nfunction f() { let q = 2; return q + o.k; }\n"
     r = typescript.extract("/w/a.ts", src)
