@@ -1,4 +1,9 @@
-"""A training-data pipeline over documents: each stage is written as Parquet and read again by the next one."""
+"""A training-data pipeline over documents: each stage is written as Parquet and read again by the next one.
+
+Rows without text or letters go at the first stage. Rows that repeat a doc_id are judged, kept, replaced and drawn alike, and
+rows without a doc_id count as one document more. Columns beyond those that a stage names pass through all stages but the
+last, whatever their names. An empty table goes through as one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.llm import jaccard_join, langid, mixing, packing, pii
-from symgraph.llm.common import materialise, table
+from symgraph.llm.common import fresh, materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +26,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymise(docs, pii.key_of(spark)).withColumn("n_chars", F.when(F.col("n_values") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    renamed = {c: fresh(docs, f"_{c}") for c in docs.columns if c.lower() == "n_values"}  # the stage's own count takes that name
+    done = pii.pseudonymise(docs.withColumnsRenamed(renamed), pii.key_of(spark)).withColumn("n_chars", F.when(F.col("n_values") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources reach their weights, in shuffled order."""
-    return mixing.mix(docs, mixing.rates(docs)).select(*docs.columns)
+    renamed = {c: fresh(docs, f"_{c}") for c in docs.columns if c.lower() in ("copy_no", "n_copies")}
+    mixed = mixing.mix(docs.withColumnsRenamed(renamed), mixing.rates(docs))
+    return mixed.select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,33 @@ def test_pipeline(spark, tmp_path):
         for p in pieces.get(i, []):
             assert (p == t) == ("@" not in t) and f"hein.{i}@" not in p and len(p) == len(t)
     assert set(pieces) <= set(stay)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_values string, copy_no string, n_copies string, lang_pred string, score string, component_id string, shard string, _found string"
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids, repeated rows, clashing columns, a text above a block's size, and nothing at all."""
+    long_text = "the ing and er the ing. " * 50_000
+    text = "the ing and er write hein.7@mail.example.com now and then the ing and er"
+    bodies = [(1, text), (1, text), (None, text + " with some more words that only this one has, all of them new here"), (2, None), (3, ""), (4, long_text), (5, "12 34")]
+    rows = [(i, t, "aa", f"s{(i or 0) % 2}", len(t or ""), *"abcdefgh") for i, t in bodies]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for table, want in ((docs, None), (docs.limit(0), 0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.materialise(stage(spark, now, ""), "odd")
+            assert now.columns == docs.columns, name
+            got = now.collect()
+            assert all((r.n_values, r.copy_no, r.n_copies, r.lang_pred, r.score, r.component_id, r.shard, r._found) == tuple("abcdefgh") for r in got)
+            if want == 0:
+                assert not got
+            elif name == "language ID":
+                assert sorted(str(r.doc_id) for r in got) == ["1", "1", "4", "None"]
+            elif name == "n-gram Jaccard join":
+                assert sorted(str(r.doc_id) for r in got) == ["1", "1", "4", "None"]
+            elif name == "PII":
+                assert not any("hein.7@" in r.text for r in got) and all(r.n_chars == len(r.text) for r in got)
+                assert len({r.text for r in got if r.doc_id == 1}) == 1 and any(r.text == long_text for r in got)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+        assert sum(len(p.text) for p in packed) == sum(r.n_chars for r in now.collect())
