@@ -543,9 +543,9 @@ def source_extraction(x: Index) -> DataFrame:
 
 # --- at cursors
 
-_CURSORS = "cursors AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS cursor_id, {file} AS cursor_uri, CAST(l_suppkey % 97 AS INT) AS cursor_line, CAST(l_quantity AS INT) AS cursor_character FROM lineitem)"
-_AT = (
-    _CURSORS.format(file="concat('/ws/src/mod', CAST(l_orderkey % 40 AS VARCHAR), '/file', CAST(l_orderkey % 90 AS VARCHAR), '.ts')")
+_PLACES = "cursors AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS cursor_id, {file} AS cursor_uri, CAST(l_suppkey % 97 AS INT) AS cursor_line, CAST(l_quantity AS INT) AS cursor_character FROM lineitem)"
+_AT_PLACES = (
+    _PLACES.format(file="concat('/ws/src/mod', CAST(l_orderkey % 40 AS VARCHAR), '/file', CAST(l_orderkey % 90 AS VARCHAR), '.ts')")
     + """, marks AS (SELECT uri, line, character, CAST(character + length(name) AS INT) AS end_character, name, kind, 0 AS stage FROM symbols
 UNION ALL SELECT uri, line, character, CAST(character + length(symbol_name) AS INT), symbol_name, 'variable', 1 FROM refs),
 met AS (SELECT c.cursor_id, m.*, row_number() OVER (PARTITION BY cursor_id ORDER BY stage, m.character, name, kind) AS k FROM cursors c JOIN marks m ON m.uri = c.cursor_uri AND m.line = c.cursor_line AND c.cursor_character BETWEEN m.character AND m.end_character),
@@ -553,22 +553,22 @@ found AS (SELECT * FROM met WHERE k = 1)"""
 )
 
 
-def _cursors(x: Index) -> DataFrame:
+def _places(x: Index) -> DataFrame:
     key = F.col("l_orderkey")
     uri = F.concat(F.lit("/ws/src/mod"), (key % 40).cast("string"), F.lit("/file"), (key % 90).cast("string"), F.lit(".ts"))
     return x.table("lineitem").select((key * 10 + F.col("l_linenumber")).cast("long").alias("cursor_id"), uri.alias("cursor_uri"), (F.col("l_suppkey") % 97).cast("int").alias("cursor_line"), F.col("l_quantity").cast("int").alias("cursor_character"))
 
 
-@query(f", {_AT} SELECT cursor_id, uri, line, character, end_character, name, kind FROM found")
+@query(f", {_AT_PLACES} SELECT cursor_id, uri, line, character, end_character, name, kind FROM found")
 def symbol_at_cursor(x: Index) -> DataFrame:
     """The declared name or reference at every cursor."""
-    return cursor.symbol_at(_cursors(x), x.symbols, x.refs).select("cursor_id", "uri", "line", "character", "end_character", "name", "kind")
+    return cursor.symbol_at(_places(x), x.symbols, x.refs).select("cursor_id", "uri", "line", "character", "end_character", "name", "kind")
 
 
-@query(f", {_AT}, known AS (SELECT name, uri AS first_uri FROM (SELECT name, uri, row_number() OVER (PARTITION BY name ORDER BY uri, ordinal) AS n FROM symbols WHERE is_definition) WHERE n = 1) SELECT c.cursor_id AS cursor_id, f.line AS line, f.character AS character, f.end_character AS end_character, f.name AS name, CASE WHEN f.name IS NULL THEN '{cursor.NO_SYMBOL}' WHEN first_uri IS NULL THEN '{cursor.NOT_INDEXED}' WHEN contains(first_uri, 'node_modules') THEN '{cursor.EXTERNAL}' END AS error FROM cursors c LEFT JOIN found f ON f.cursor_id = c.cursor_id LEFT JOIN known k ON k.name = f.name")
+@query(f", {_AT_PLACES}, known AS (SELECT name, uri AS first_uri FROM (SELECT name, uri, row_number() OVER (PARTITION BY name ORDER BY uri, ordinal) AS n FROM symbols WHERE is_definition) WHERE n = 1) SELECT c.cursor_id AS cursor_id, f.line AS line, f.character AS character, f.end_character AS end_character, f.name AS name, CASE WHEN f.name IS NULL THEN '{cursor.NO_SYMBOL}' WHEN first_uri IS NULL THEN '{cursor.NOT_INDEXED}' WHEN contains(first_uri, 'node_modules') THEN '{cursor.EXTERNAL}' END AS error FROM cursors c LEFT JOIN found f ON f.cursor_id = c.cursor_id LEFT JOIN known k ON k.name = f.name")
 def rename_targets(x: Index) -> DataFrame:
     """Whether the symbol at every cursor can be renamed, and its range."""
-    return cursor.prepare_rename(_cursors(x), x.symbols, x.refs)
+    return cursor.prepare_rename(_places(x), x.symbols, x.refs)
 
 
 @query("SELECT uri, ordinal, concat('```typescript', chr(10), '(', kind, ') ', CASE WHEN coalesce(container_name, '') <> '' THEN concat(container_name, '.') ELSE '' END, name, CASE WHEN is_static THEN ' [static]' ELSE '' END, CASE WHEN kind NOT IN ('function', 'method') OR parameters_count IS NULL THEN '' WHEN parameters_count > 0 THEN ' (...)' ELSE ' ()' END, chr(10), '```', chr(10), chr(10), CASE WHEN kind = 'class' THEN concat('**Angular Component**', chr(10), chr(10)) WHEN kind = 'constant' THEN concat('**NgRx Action:** `', name, '`', chr(10), chr(10), '**NgRx Action Group**', chr(10), chr(10)) ELSE '' END, '*Defined in:* `', list_extract(string_split(uri, '/'), -1), ':', CAST(line + 1 AS VARCHAR), ':', CAST(character + 1 AS VARCHAR), '`') AS text FROM symbols")
