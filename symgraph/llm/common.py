@@ -105,8 +105,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and the one before it deleted. No row is collected. Joins look labels up by a unique key, so a hot node splits as a
     skewed join.
     """
-    pairs = edges.select(F.col(a).alias("s"), F.col(b).alias("d")).where("s <> d")
-    pairs = materialise(pairs.unionByName(pairs.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct(), "pairs")
+    both = F.array(F.struct(F.col(a).alias("s"), F.col(b).alias("d")), F.struct(F.col(b).alias("s"), F.col(a).alias("d")))
+    pairs = materialise(edges.where(F.col(a) != F.col(b)).select(F.inline(both)).distinct(), "pairs")  # edges are made once
     labels = materialise(pairs.groupBy(F.col("s").alias("node")).agg(F.least(F.col("s"), F.min("d")).alias("label"), F.lit(True).alias("changed")), "labels")
     while not labels.where("changed").isEmpty():
         by = labels.select(F.col("node").alias("d"), F.col("label").alias("seen"))
