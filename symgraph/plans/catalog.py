@@ -585,13 +585,13 @@ def unused_messages(x: Index) -> DataFrame:
     return cursor.messages(_dead(x)).select("uri", "ordinal", "message")
 
 
-_WORDS = ["Path", "const", "MAP", "maps", "newer", "new", "logger", "Info"]
+_ASKED = ["Path", "const", "MAP", "maps", "newer", "new", "logger", "Info"]
 
 
-@query("SELECT word, NOT lower(word) IN (" + ", ".join(f"'{k}'" for k in P.KEYWORDS) + f") AS is_searched FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT unnest({_WORDS}) AS word) t", views=False)
+@query("SELECT word, NOT lower(word) IN (" + ", ".join(f"'{k}'" for k in P.KEYWORDS) + f") AS is_searched FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT unnest({_ASKED}) AS word) t", views=False)
 def words_searched(x: Index) -> DataFrame:
     """Which words the fallback of a definition looks up: all but keywords."""
-    words = x.table("part").select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(x.spark.createDataFrame([(w,) for w in _WORDS], "word string")).distinct()
+    words = x.table("part").select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(x.spark.createDataFrame([(w,) for w in _ASKED], "word string")).distinct()
     return words.select("word", (~F.lower("word").isin(P.KEYWORDS)).alias("is_searched"))
 
 
