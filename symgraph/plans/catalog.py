@@ -449,13 +449,15 @@ def live_keys(x: Index) -> DataFrame:
     return incremental.latest(x.table("events"), "user_id", ["ts", "event_id"]).where("event_type <> 'error'").select("user_id", "ts")
 
 
-@query("SELECT d.doc_id AS doc_id, sha256(d.text) AS hash, CASE WHEN l.doc_id IS NULL THEN 'added' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", views=False)
+@query("SELECT d.doc_id AS doc_id, sha256(d.text) AS hash, CASE WHEN l.doc_id IS NULL THEN 'added' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT -1 - page_id AS doc_id, sha256(html) AS hash, 'deleted' AS state FROM pages", views=False)
 def staleness(x: Index) -> DataFrame:
+    """Documents against a stored snapshot: of those with labels, the bad ones with another hash, and of all pages, now gone."""
     from ..streaming import incremental
 
     now = x.table("documents").select(F.col("doc_id").alias("uri"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
     stored = x.table("labels").select(F.col("doc_id").alias("uri"), "quality").join(now, "uri").select("uri", F.when(F.col("quality") == 0, "old").otherwise(F.col("hash")).alias("hash"))
-    return incremental.changes(stored, now).where("state <> 'deleted'").select(F.col("uri").alias("doc_id"), "hash", "state")
+    gone = x.table("pages").select((-1 - F.col("page_id")).alias("uri"), F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
+    return incremental.changes(stored.unionByName(gone), now).select(F.col("uri").alias("doc_id"), "hash", "state")
 
 
 # --- text forms of resolution and liveness
