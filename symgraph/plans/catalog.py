@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..extract import words
@@ -469,15 +470,21 @@ def _lines(x: Index) -> DataFrame:
     return x.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line, CAST(strpos(s, 'that') - 1 AS INT) AS character FROM lines WHERE contains(s, 'that')", views=False)
+@query(f"WITH {_LINES}, p AS (SELECT doc_id, line, unnest(string_split(s, 'that')) AS piece, generate_subscripts(string_split(s, 'that'), 1) AS n FROM lines WHERE contains(s, 'that')) SELECT doc_id, line, CAST(place AS INT) AS character FROM (SELECT *, sum(length(piece) + 4) OVER (PARTITION BY doc_id, line ORDER BY n) - 4 AS place, count(*) OVER (PARTITION BY doc_id, line) AS m FROM p) WHERE n < m", views=False)
 def literal_matches(x: Index) -> DataFrame:
-    """Places of a literal in lines (action types in reducers and effects)."""
-    return _lines(x).where(F.col("s").contains("that")).select("doc_id", "line", (F.instr("s", "that") - 1).alias("character"))
+    """All places of a literal in lines (action types in reducers and effects)."""
+    pieces = _lines(x).where(F.col("s").contains("that")).select("doc_id", "line", F.posexplode(F.split("s", "that")).alias("n", "piece"))
+    line = W.partitionBy("doc_id", "line")
+    # where a piece ends, the literal stands, but for the last piece
+    ends = pieces.select("doc_id", "line", "n", F.sum(F.char_length("piece") + 4).over(line.orderBy("n")).alias("end"), F.max("n").over(line).alias("last"))
+    return ends.where("n < last").select("doc_id", "line", (F.col("end") - 4).cast("int").alias("character"))
 
 
-@query(f"WITH {_LINES}, n AS (SELECT *, regexp_extract(s, '[A-Za-z]+') AS w FROM lines) SELECT doc_id, line, w, (contains(s, 'on(') OR contains(s, 'createAction') OR (length(w) >= 3 AND regexp_matches(lower(w), '^({'|'.join(P.ACTION_VERBS)})') AND regexp_matches(w, '^[a-z][a-zA-Z0-9]*$'))) AS store_like FROM n", views=False)
+@query(f"WITH {_LINES}, n AS (SELECT doc_id, line, s, unnest(regexp_extract_all(s, '[A-Za-z]+')) AS w FROM lines) SELECT doc_id, line, w, (contains(s, 'on(') OR contains(s, 'createAction') OR (length(w) >= 3 AND regexp_matches(lower(w), '^({'|'.join(P.ACTION_VERBS)})') AND regexp_matches(w, '^[a-z][a-zA-Z0-9]*$'))) AS store_like FROM n", views=False)
 def store_lines(x: Index) -> DataFrame:
-    return _lines(x).withColumn("w", F.regexp_extract("s", "[A-Za-z]+", 0)).select("doc_id", "line", "w", P.store_symbol(F.col("w"), F.col("s")).alias("store_like"))
+    """Which words of each line look like store symbols there."""
+    words = _lines(x).withColumn("w", F.explode(F.regexp_extract_all("s", F.lit("[A-Za-z]+"), 0)))
+    return words.select("doc_id", "line", "w", P.store_symbol(F.col("w"), F.col("s")).alias("store_like"))
 
 
 @query("SELECT match, explicit, CASE WHEN match = 'symbol' AND explicit THEN 'high' WHEN match IN ('symbol', 'string') THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'string' ELSE 'wildcard' END AS match, o_orderkey % 2 = 0 AS explicit FROM orders) GROUP BY ALL", views=False)
