@@ -177,7 +177,8 @@ def symbol_id(uri: Column, path: Column, name: Column, kind: Column, static: Col
 
 def word_at(text: Column, offset: Column) -> Column:
     """The word at a 0-based offset, or just before it; null if none or if it starts with a digit."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), offset), "[A-Za-z0-9_]*$", 0)
+    # \z, since Java's $ also matches before a line end that closes the text
+    left = F.regexp_extract(F.substring(text, F.lit(1), offset), r"[A-Za-z0-9_]*\z", 0)
     right = F.regexp_extract(F.substring(text, offset + 1, F.char_length(text)), "^[A-Za-z0-9_]*", 0)
     word = F.concat(left, right)
     return F.when(word.rlike("^[A-Za-z_]"), word)

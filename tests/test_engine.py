@@ -347,3 +347,9 @@ def test_import_paths(spark, tmp_path):
     bare = spark.createDataFrame([("/a/b.ts", "../../c"), ("p/q/r.ts", "../../c"), ("t.ts", "./c"), ("t.ts", "lib")], "uri string, module_specifier string")
     known = spark.createDataFrame([("/c.ts",), ("c.ts",), ("node_modules/lib/index.ts",)], "uri string")
     assert sorted((r.uri, r.resolved_uri) for r in resolve.resolve_imports(bare, known).collect()) == [("/a/b.ts", "/c.ts"), ("p/q/r.ts", "c.ts"), ("t.ts", "c.ts"), ("t.ts", "node_modules/lib/index.ts")]
+
+
+def test_word_after_a_line_end(spark):
+    texts = ["abc\ndef", "abc\n def", "abc\r\nx", "abc ", "abc\n", "ab\n\ndef", "abcd ef"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.word_at(F.col("t"), F.lit(4)).alias("w"))
+    assert {r.i: r.w for r in rows.collect()} == {0: "def", 1: None, 2: None, 3: None, 4: None, 5: "def", 6: "abcd"}
