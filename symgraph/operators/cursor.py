@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -17,15 +18,26 @@ LABELS = {"class": "Class", "interface": "Interface", "function": "Function", "t
 def symbol_at(cursors: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """cursors (cursor_id, cursor_uri, cursor_line, cursor_character) with name, kind and range of what stands there.
 
-    A declared name comes before a reference, whose kind is always variable; of several the first by start and name. Names
-    of a line are joined by (uri, line) and tested by character, so no file meets its cursors as a whole.
+    A declared name comes before a reference, whose kind is always variable; of several the first by start and name, and of
+    places that share a cursor_id the first by uri and line. A place is looked up once, however many cursors stand there:
+    names that earlier ones of their line cover wholly can't win and go first, so a place meets few.
     """
-    end = F.col("character") + F.char_length("name")
-    declared = symbols.select("uri", "line", "character", end.alias("end_character"), "name", "kind", F.lit(0).alias("_stage"))
-    used = refs.select("uri", "line", "character", F.col("symbol_name").alias("name")).select("uri", "line", "character", end.alias("end_character"), "name", F.lit("variable").alias("kind"), F.lit(1).alias("_stage"))
+    declared = symbols.select("uri", "line", "character", "name", "kind", F.lit(0).alias("_stage"))
+    used = refs.select("uri", "line", "character", F.col("symbol_name").alias("name"), F.lit("variable").alias("kind"), F.lit(1).alias("_stage"))
+    end = (F.col("character") + F.char_length("name")).alias("end_character")
+    key = ["uri", "line", "_stage", "character", "end_character"]
+    names = declared.unionByName(used).select("uri", "line", "_stage", "character", end, "name", "kind").where("end_character is not null")
+    names = names.distinct().groupBy(*key).agg(F.min(F.struct("name", "kind")).alias("_m"))
+    earlier = W.partitionBy("uri", "line", "_stage").orderBy("character").rangeBetween(W.unboundedPreceding, -1)
+    from_ = F.greatest("character", F.max("end_character").over(earlier) + 1)
+    names = names.withColumn("_from", from_).where("_from <= end_character")
     here = cursors.select("cursor_id", F.col("cursor_uri").alias("uri"), F.col("cursor_line").alias("line"), "cursor_character")
-    met = here.join(declared.unionByName(used), ["uri", "line"]).where(F.col("cursor_character").between(F.col("character"), F.col("end_character")))
-    return search.first_by(met, ["cursor_id"], "_stage", "character", "name", "kind").drop("_stage", "cursor_character")
+    place = ["uri", "line", "cursor_character"]
+    met = here.select(*place).distinct().join(names, ["uri", "line"]).where(F.col("cursor_character").between(F.col("_from"), F.col("end_character")))
+    order = ["_stage", "character", "name", "kind"]
+    best = search.first_by(met.select(*place, "_stage", "character", "end_character", "_m.name", "_m.kind"), place, *order)
+    at = search.first_by(here.join(best, place), ["cursor_id"], *order, "uri", "line")
+    return at.select("uri", "line", "cursor_id", "character", "end_character", "name", "kind")
 
 
 def signature() -> Column:

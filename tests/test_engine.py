@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from symgraph.extract.index import read_file
 from symgraph.extract.plugins import Angular, Plugin, Registry
 from symgraph.functions import predicates as P
 from symgraph.functions import scalars as S
-from symgraph.operators import graph, search
+from symgraph.operators import cursor, graph, search
 from symgraph.sources import workspace
 from symgraph.streaming import incremental
 
@@ -353,3 +354,24 @@ def test_word_after_a_line_end(spark):
     texts = ["abc\ndef", "abc\n def", "abc\r\nx", "abc ", "abc\n", "ab\n\ndef", "abcd ef"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.word_at(F.col("t"), F.lit(4)).alias("w"))
     assert {r.i: r.w for r in rows.collect()} == {0: "def", 1: None, 2: None, 3: None, 4: None, 5: "def", 6: "abcd"}
+
+
+def test_symbols_at_shared_cursors(spark):
+    rnd = random.Random(5)
+    declared = [(f"/f{rnd.randint(0, 1)}", rnd.randint(0, 3), rnd.randint(0, 30), "x" * rnd.randint(1, 12) + rnd.choice("ab"), rnd.choice(["class", "type"])) for _ in range(60)]
+    used = [(f"/f{rnd.randint(0, 1)}", rnd.randint(0, 3), rnd.randint(0, 30), "y" * rnd.randint(1, 12) + rnd.choice("ab")) for _ in range(150)]
+    used += [("/g", n, 3, "same") for n in range(40)]
+    cursors = [(i % 150, f"/f{rnd.randint(0, 2)}", rnd.randint(0, 4), rnd.randint(0, 45)) for i in range(300)] + [(500 + n % 20, "/g", n, 5) for n in range(40)]
+    marks = [(0, c, n, k, u, ln) for u, ln, c, n, k in declared] + [(1, c, n, "variable", u, ln) for u, ln, c, n in used]
+    want = {}
+    for i, u, ln, at in cursors:
+        here = min((m for m in marks if m[4:] == (u, ln) and m[1] <= at <= m[1] + len(m[2])), default=None)
+        if here:
+            want[i] = min(here, want.get(i, here))
+    symbols = spark.createDataFrame(declared, "uri string, line int, character int, name string, kind string")
+    refs = spark.createDataFrame(used, "uri string, line int, character int, symbol_name string")
+    for rows in (cursors, cursors[::-1]):
+        places = spark.createDataFrame(rows, "cursor_id long, cursor_uri string, cursor_line int, cursor_character int")
+        got = cursor.symbol_at(places, symbols, refs).collect()
+        assert {r.cursor_id: (r.character, r.name, r.kind, r.uri, r.line) for r in got} == {i: m[1:] for i, m in want.items()}
+        assert len(got) == len(want) and all(r.end_character == r.character + len(r.name) for r in got)
