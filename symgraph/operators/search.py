@@ -107,17 +107,52 @@ def definition_rules(candidates: DataFrame) -> DataFrame:
 def definitions_at(cursors: DataFrame, symbols: DataFrame) -> DataFrame:
     """What definition_rules leaves of all symbols of each cursor's name; cursors have a name and a unique cursor_id.
 
-    Only the first rule looks at the cursor, and only where a symbol of that name holds it. Such cursors run the rules
-    over their own candidates; all others take what the rules leave of their name, found once for each name.
+    Only the first rule looks at the cursor, and it drops symbols of the cursor's own file alone. What it drops decides by
+    two flags (a definition is left; a class and an interface are) what the other rules keep, so for each name and pair of
+    flags the best two files are found once. A place inside symbols of its name meets those of its own file only, and
+    takes the better of what is left there and the best other file.
     """
     at, start, end = (F.struct(F.col(a).alias("l"), F.col(b).alias("c")) for a, b in (("cursor_line", "cursor_character"), ("start_line", "start_character"), ("end_line", "end_character")))
-    homes = symbols.select("name", F.col("uri").alias("cursor_uri"), "start_line", "start_character", "end_line", "end_character")
-    inside = cursors.join(homes, ["name", "cursor_uri"]).where(at.between(start, end)).select("cursor_id").distinct()
-    of_name = definition_rules(symbols.withColumns({"cursor_id": F.col("name"), "cursor_uri": F.lit(""), "cursor_line": F.lit(-1), "cursor_character": F.lit(-1)}))
-    of_name = of_name.drop("cursor_id", "cursor_uri", "cursor_line", "cursor_character")
-    free = cursors.join(inside, "cursor_id", "left_anti").join(of_name, "name")
-    held = definition_rules(cursors.join(inside, "cursor_id", "left_semi").join(symbols, "name"))
-    return free.unionByName(held)
+    place, counted = ["name", "cursor_uri", "cursor_line", "cursor_character"], {"_nd": "is_definition", "_nc": "kind = 'class'", "_ni": "kind = 'interface'"}
+    flags = [(d, b) for d in (False, True) for b in (False, True)]
+
+    def kept(d: bool, b: bool) -> Column:
+        fits = ~F.col("kind").isin(P.IMPORT_KINDS)
+        return fits & (F.col("kind") != "text" if d else F.lit(True)) & (F.col("kind") == "class" if b else F.lit(True))
+
+    def firsts(among: Column) -> list[Column]:
+        return [F.min_by("_s", F.when(kept(*f) & among, F.struct("start_line", "ordinal"))).alias(f"_c{i}") for i, f in enumerate(flags)]
+
+    def counts(among: Column, mark: str) -> list[Column]:
+        return [F.count(F.when(F.expr(what) & among, 1)).alias(n + mark) for n, what in counted.items()]
+
+    def of_flags(prefix: str, left: dict[str, Column]) -> Column:
+        d, b = left["_nd"] > 0, (left["_nc"] > 0) & (left["_ni"] > 0)
+        return F.when(d & b, F.col(f"{prefix}3")).when(d, F.col(f"{prefix}2")).when(b, F.col(f"{prefix}1")).otherwise(F.col(f"{prefix}0"))
+
+    def order(s: str) -> Column:
+        return F.struct(S.kind_rank(F.col(f"{s}.kind")).alias("k"), F.col(f"{s}.uri").alias("u"), F.col(f"{s}.ordinal").alias("o"))
+
+    rows = symbols.withColumn("_s", F.struct(*(c for c in symbols.columns if c != "name")))
+    files = rows.groupBy("name", "uri").agg(*firsts(F.lit(True)), *counts(F.lit(True), ""))
+    each = files.select("name", F.posexplode(F.array(*(f"_c{i}" for i in range(4)))).alias("_k", "_s")).where("_s is not null")
+    each = each.withColumn("_n", F.row_number().over(W.partitionBy("name", "_k").orderBy(order("_s")))).where("_n <= 2")
+    best = each.groupBy("name").agg(*(F.first(F.when((F.col("_k") == i) & (F.col("_n") == n), F.col("_s")), True).alias(f"_b{n}{i}") for i in range(4) for n in (1, 2)))
+    names = files.groupBy("name").agg(*(F.sum(n).alias(n) for n in counted)).join(best, "name")
+
+    near = cursors.select(*place).distinct().join(rows.withColumnRenamed("uri", "cursor_uri"), ["name", "cursor_uri"]).withColumn("_own", at.between(start, end))
+    held = near.groupBy(*place).agg(F.max("_own").alias("_own"), *firsts(~F.col("_own")), *counts(F.col("_own"), "o")).where("_own").join(names, "name", "left")
+    left = {n: F.col(n) - F.col(f"{n}o") for n in counted}
+    held = held.select(*place, *(of_flags(p, left).alias(a) for p, a in (("_c", "_mine"), ("_b1", "_first"), ("_b2", "_second"))))
+    held = held.withColumn("_other", F.when(F.col("_first.uri") == F.col("cursor_uri"), F.col("_second")).otherwise(F.col("_first")))
+    won = F.when(F.col("_other").isNull() | (order("_mine") < order("_other")) & F.col("_mine").isNotNull(), F.col("_mine")).otherwise(F.col("_other"))
+    held = held.select(*(F.col(c).alias(f"_at_{c}") for c in place), won.alias("_won"), F.lit(True).alias("_held"))
+
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]
+    free = names.select("name", of_flags("_b1", {n: F.col(n) for n in counted}).alias("_free"))
+    both = cursors.join(held, same, "left").join(free, "name", "left")
+    found = both.withColumn("_s", F.when(F.col("_held"), F.col("_won")).otherwise(F.col("_free"))).where("_s is not null")
+    return found.select(*cursors.columns, "_s.*")
 
 
 def hover(symbols: DataFrame, name: str, uri: str, kind: str) -> DataFrame:

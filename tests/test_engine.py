@@ -375,3 +375,39 @@ def test_symbols_at_shared_cursors(spark):
         got = cursor.symbol_at(places, symbols, refs).collect()
         assert {r.cursor_id: (r.character, r.name, r.kind, r.uri, r.line) for r in got} == {i: m[1:] for i, m in want.items()}
         assert len(got) == len(want) and all(r.end_character == r.character + len(r.name) for r in got)
+
+
+def joined_rows(df):
+    """df's rows, and the most rows that a join of its plan gave out."""
+    rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        m = p.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if "Join" in p.nodeName() and m.isDefined() else 0)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows, most
+
+
+def test_definitions_of_random_cursors(spark):
+    rnd = random.Random(3)
+    kinds = ["class", "interface", "function", "text", "method", "import", "type"]
+    rows = [(rnd.choice("abcd"), f"/f{rnd.randint(0, 5)}", i, rnd.choice(kinds), a := rnd.randint(0, 9), 0, a + rnd.randint(0, 4), 5, rnd.choice([True, False, False, None])) for i in range(90)]
+    rows += [("e", "/f1", 100, "class", 0, 0, 9, 5, True), ("f", "/f1", 101, "text", 0, 0, 9, 5, True), ("f", "/f2", 102, "text", 0, 0, 9, 5, False)]
+    symbols = spark.createDataFrame(rows, "name string, uri string, ordinal int, kind string, start_line int, start_character int, end_line int, end_character int, is_definition boolean")
+    cursors = spark.createDataFrame([(i, rnd.choice("abcdefz"), f"/f{rnd.randint(0, 6)}", rnd.randint(0, 12), rnd.randint(0, 6)) for i in range(500)], "cursor_id long, name string, cursor_uri string, cursor_line int, cursor_character int")
+    alone = search.definition_rules(cursors.join(symbols, "name"))
+    got = search.definitions_at(cursors, symbols)
+    assert set(got.columns) == set(alone.columns)
+    assert names(got, *sorted(got.columns)) == names(alone, *sorted(got.columns)) != set()
+
+
+def test_cursors_within_a_common_name(spark):
+    symbols = spark.range(400).selectExpr("'a' AS name", "concat('/f', id) AS uri", "CAST(id AS INT) AS ordinal", "'class' AS kind", "1 AS start_line", "0 AS start_character", "3 AS end_line", "0 AS end_character", "true AS is_definition")
+    cursors = spark.range(400).selectExpr("id AS cursor_id", "'a' AS name", "concat('/f', id) AS cursor_uri", "2 AS cursor_line", "0 AS cursor_character")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows, most = joined_rows(search.definitions_at(cursors, symbols).select("cursor_id", "ordinal"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {r.cursor_id: r.ordinal for r in rows} == {i: 0 if i else 1 for i in range(400)} and 400 <= most < 4000
