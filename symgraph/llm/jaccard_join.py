@@ -340,14 +340,14 @@ def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def coarse_edges(classes: DataFrame, hot: int = HOT, k: int = PIVOTS) -> DataFrame:
     """Edges (a, b) between classes (doc_id, n, keys, bits) whose components no link leaves."""
-    keyed = classes.select("doc_id", F.explode("keys").alias("region"))
-    sizes = materialise(keyed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
+    keyed, n_docs = classes.select("doc_id", F.explode("keys").alias("region")), classes.count()
+    sizes = materialise(keyed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes", n_docs)
     cool = keyed.join(sizes.where(F.col("size") <= hot), "region").join(classes.select("doc_id", "n", "bits"), "doc_id")
     edges = region_edges(cool)
     if sizes.where(F.col("size") > hot).isEmpty():
         return edges
     big = keyed.join(sizes.where(F.col("size") > hot), "region").join(classes.select("doc_id", "n", "keys", "bits"), "doc_id").withColumn("used", F.array("region"))
-    big = materialise(big.select(*_COLUMNS, F.lit(True).alias("asked"), F.col("size").alias("n_asked")), "hot-regions")
+    big = materialise(big.select(*_COLUMNS, F.lit(True).alias("asked"), F.col("size").alias("n_asked")), "hot-regions", n_docs)
     pairs = F.col("n_asked") <= 2 * hot
     edges, turn = edges.unionByName(pair_edges(big.where(pairs), hot)), 0
     now = big.where(~pairs)
@@ -355,14 +355,14 @@ def coarse_edges(classes: DataFrame, hot: int = HOT, k: int = PIVOTS) -> DataFra
         taken, left = peel(now.select(*_COLUMNS), now.where("asked").select("region", "doc_id"), hot if turn else min(hot, k), hot, turn)
         labels = components(edges.unionByName(taken))
         left = _unsettled(left.drop("size"), labels)
-        left = materialise(left.join(left.groupBy("region").agg(F.count("*").alias("size"), F.count_if("asked").alias("n_asked")), "region"), "open-regions")
+        left = materialise(left.join(left.groupBy("region").agg(F.count("*").alias("size"), F.count_if("asked").alias("n_asked")), "region"), "open-regions", n_docs)
         split = ~pairs & (F.size("used") == 1)
         after = left.where(~split)
         if not left.where(split).isEmpty():
             other = left.where(split).withColumn("key", F.explode(F.filter("keys", lambda x: ~F.array_contains("used", x))))
             other = other.withColumn("used", F.array_sort(F.concat("used", F.array("key")))).withColumn("region", F.xxhash64("used")).dropDuplicates(["region", "doc_id"]).drop("size", "n_asked")
             met = other.groupBy("region").agg(F.count("*").alias("size"), F.count_if("asked").alias("n_asked")).where("size > 1 and n_asked > 0")
-            after = materialise(after.unionByName(other.join(met, "region").select(*after.columns)), "split-regions")
+            after = materialise(after.unionByName(other.join(met, "region").select(*after.columns)), "split-regions", n_docs)
         # what is known so far is a star around the first node of each component
         edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         few = after.where(pairs)
@@ -541,11 +541,12 @@ def join(docs: DataFrame, group: int = GROUP, hot: int = HOT, block_docs: int =
     """Rows (doc_id, n_shingles, component_id, class_id) of docs (doc_id, text)."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     found = materialise(sketches(base), "sketches")
+    n_docs = found.count()
     same = ["n", "d1", "d2"]
-    classes = materialise(found.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
+    classes = materialise(found.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes", n_docs)
     coarse = components(coarse_edges(classes, hot)).withColumnRenamed("node", "doc_id")
     sizes = coarse.join(classes.select("doc_id", "n"), "doc_id").groupBy("component").agg(F.sum("n").alias("total"))
-    held = materialise(coarse.join(sizes, "component").select("doc_id", "component", (F.col("total") > group).alias("large")), "groups")
+    held = materialise(coarse.join(sizes, "component").select("doc_id", "component", (F.col("total") > group).alias("large")), "groups", n_docs)
     # equal rows count once
     chosen = lambda large: set_rows(base.join(held.where("large" if large else "not large"), "doc_id").withColumn("_tag", F.xxhash64("text")).dropDuplicates(["doc_id", "_tag"]).select("doc_id", "text", "component"), ["component"])
     links = small_links(chosen(False))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from symgraph.llm import common, quality_rules, suffix_dedup
@@ -34,6 +35,35 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_or_more(spark):
+    """Few edges take no rounds, however long a chain; more than one task may hold go round by round, with the same result."""
+    rnd = np.random.default_rng(2)
+    a, b = (np.r_[x, y] for x, y in zip(rnd.integers(-500, 500, (2, 400)), (np.arange(1000, 1400), np.arange(1001, 1401)), strict=True))
+    root = {x: x for x in np.r_[a, b].tolist()}
+    for _ in root:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+    brute = {x: r for x, r in root.items() if ((a == x) ^ (b == x)).any()}
+    edges = spark.createDataFrame([(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] + [(None, 1), (1, None)], "a long, b long").repartition(5)
+    jobs = {}
+    for limit in (common.TASK_EDGES, 50):
+        spark.sparkContext.setJobGroup(f"components-{limit}", "")
+        assert {r.node: r.component for r in common.components(edges, limit=limit).collect()} == brute
+        jobs[limit] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{limit}"))
+    assert jobs[common.TASK_EDGES] <= 6 < jobs[50]
+
+
+def test_parts_of_a_forest():
+    """A stream beyond the limit gives out what it holds in parts, which connect what the stream does."""
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(0, 90, (2, 300))
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + 20]), pa.array(b[i : i + 20])], ["a", "b"]) for i in range(0, 300, 20)]
+    for limit in (7, 40, 100, 1000):
+        parts = pa.Table.from_batches(list(common._forest(iter(batches), limit)))
+        got = dict(zip(*(x.tolist() for x in common.connected(*(parts.column(c).to_numpy() for c in ("a", "b")))), strict=True))
+        assert got == dict(zip(*(x.tolist() for x in common.connected(a, b)), strict=True)) and (limit < 1000 or parts.num_rows < 90)
+
+
 # 7 rules
 
 
